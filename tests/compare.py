@@ -62,7 +62,7 @@ def main(sf_dir, names):
     import __spark_entry__ as entry
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
