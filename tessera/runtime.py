@@ -64,7 +64,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def size_in_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan: exact file sizes for a plain scan, an upper-leaning guess otherwise."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
