@@ -1 +1,22 @@
-QUERIES: dict = {}
+"""Queries of problem 8: filling fixed-capacity containers with items."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.packing import CAPACITY, pack
+from tessera.runtime import read_table
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: the containers and items of each number of free tokens."""
+    by = p8_containers(spark, sf_dir).filter("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n_items"))
+    return by.groupBy((F.lit(CAPACITY) - F.col("used")).alias("free_tokens")).agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"))
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}

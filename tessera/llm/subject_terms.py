@@ -19,15 +19,15 @@ TERMS = {
         netzmaske, leitung, lastverteiler, paket, bandbreite, verbindung, namensauflösung,
         balanceador, paquete, subred, enrutador, enlace, ancho de banda, resolución de nombres, conexión,
         répartiteur, lien, connexion, routeur, sous-réseau, paquet, bande passante, résolution de noms""",
-    "machine_learning": """checkpoint, kernel, calibration plot, warm-up phase, confusion matrix, learning rate, dropout mask, recall score, cluster label, optimiser state, loss curve, token vocabulary, training batch, attention head, baseline model, fine-tuning run, validation split, reward model, gradient norm, label noise, inference server, hyperparameter sweep, embedding layer, feature store,
+    "machine_learning": """checkpoint, kernel, batch, calibration plot, warm-up phase, confusion matrix, learning rate, dropout mask, recall score, cluster label, optimiser state, loss curve, token vocabulary, training batch, attention head, baseline model, fine-tuning run, validation split, reward model, gradient norm, label noise, inference server, hyperparameter sweep, embedding layer, feature store,
         merkmal, modell, trainingslauf, lernrate, gewichtung, vorhersage, verlustkurve, stichprobe,
         modelo, ponderación, entrenamiento, tasa de aprendizaje, atributo, predicción, muestra, curva de pérdida,
         attribut, échantillon, prédiction, modèle, entraînement, pondération, courbe de perte, taux d'apprentissage""",
-    "build_tooling": """bundle, kernel, linker flag, pipeline stage, release tag, test shard, monorepo, compiler warning, container image, nightly job, dependency graph, build matrix, target, include path, version bump, incremental build, signing step, generated stub, package registry, artifact, runner, build cache, workspace file, lockfile,
+    "build_tooling": """bundle, kernel, link, linker flag, pipeline stage, release tag, test shard, monorepo, compiler warning, container image, nightly job, dependency graph, build matrix, target, include path, version bump, incremental build, signing step, generated stub, package registry, artifact, runner, build cache, workspace file, lockfile,
         laufumgebung, artefakt, übersetzer, bauprozess, abhängigkeit, paketquelle, zwischenspeicher, veröffentlichung,
         enlazador, caché, artefacto, compilación, dependencia, publicación, registro de paquetes, entorno de ejecución,
         compilation, publication, cache, artefact, dépendance, éditeur de liens, environnement d'exécution, registre de paquets""",
-    "security": """audit trail, nonce, policy file, second factor, rate limit, phishing drill, signature check, encryption key, permission check, access token, attack surface, certificate chain, password hash, secret rotation, sandbox escape, threat model, privilege boundary, vulnerability report, session cookie, revocation list, login flow, role binding, input sanitiser,
+    "security": """firewall rule, audit trail, nonce, policy file, second factor, rate limit, phishing drill, signature check, encryption key, permission check, access token, attack surface, certificate chain, password hash, secret rotation, sandbox escape, threat model, privilege boundary, vulnerability report, session cookie, revocation list, login flow, role binding, input sanitiser,
         schlüssel, zugriffsrecht, schwachstelle, angriff, kennwort, anmeldung, zertifikat, prüfprotokoll,
         vulnerabilidad, contraseña, auditoría, ataque, certificado, permiso de acceso, inicio de sesión, clave de cifrado,
         authentification, vulnérabilité, attaque, certificat, droit d'accès, clé de chiffrement, mot de passe, piste d'audit""",
@@ -39,31 +39,31 @@ TERMS = {
         schiedsrichter, heimspiel, stadion, tabellenplatz, torhüterin, elfmeter, turnier, trainingslager,
         estadio, portera, pretemporada, torneo, árbitro, penalti, partido en casa, clasificación,
         arbitre, tournoi, penalty, stade, gardienne, match à domicile, stage de préparation, classement""",
-    "astronomy": """field of view, spectral line, orbit, comet tail, moon, exposure, parallax, nebula, observation night, eclipse, planet candidate, dust ring, magnitude, light curve, telescope, pulsar, redshift, sky survey, mirror segment, star cluster, red giant, galaxy arm, transit depth,
+    "astronomy": """calibration plot, field of view, spectral line, orbit, comet tail, moon, exposure, parallax, nebula, observation night, eclipse, planet candidate, dust ring, magnitude, light curve, telescope, pulsar, redshift, sky survey, mirror segment, star cluster, red giant, galaxy arm, transit depth,
         galaxie, umlaufbahn, komet, sternhaufen, teleskop, spektrallinie, finsternis, lichtkurve,
         cometa, curva de luz, galaxia, línea espectral, órbita, telescopio, cúmulo estelar,
         éclipse, télescope, comète, courbe de lumière, raie spectrale, orbite, amas d'étoiles""",
-    "finance": """bill, settlement, exposure, accrual, loan, hedge, bond yield, invoice, portfolio, interest rate, pension plan, dividend, quarterly report, budget line, margin call, share price, balance sheet, cash flow, credit line, ledger entry, tax form, risk limit, payment term, exchange rate,
+    "finance": """bill, settlement, audit trail, accrual, loan, hedge, bond yield, invoice, portfolio, interest rate, pension plan, dividend, quarterly report, budget line, margin call, share price, balance sheet, cash flow, credit line, ledger entry, tax form, risk limit, payment term, exchange rate,
         haushaltsposten, wechselkurs, rechnung, anleihe, zinssatz, bilanz, buchung, dividende,
         balance, bono, factura, tipo de cambio, tipo de interés, partida presupuestaria, dividendo, asiento contable,
         bilan, obligation, facture, taux de change, taux d'intérêt, ligne budgétaire, écriture comptable""",
     "medicine": """prescription, blood sample, heart rhythm, dosage, patient chart, side effect, trial arm, symptom diary, diagnosis, biopsy, ward round, placebo, relapse, cell count, allergy note, bone density, nurse station, scan report, surgery slot, antibody level, vaccine lot, intake form, triage desk, fever curve,
         nebenwirkung, visite, befund, impfstoff, blutprobe, diagnose, dosierung, patientenakte,
-        diagnóstico, hallazgo, vacuna, ronda médica, dosis, efecto secundario, muestra de sangre, historia clínica,
-        diagnostic, prise de sang, vaccin, effet secondaire, dossier médical, posologie, résultat d'examen""",
+        diagnóstico, hallazgo, vacuna, ronda médica, dosis, efecto secundario, muestra, muestra de sangre, historia clínica,
+        diagnostic, prise de sang, vaccin, effet secondaire, dossier médical, posologie, résultat d'examen, compte rendu, tournée des patients""",
     "cooking": """marinade, dough, glaze, roast, caramel, stew, batch, broth, yeast starter, pantry shelf, seasoning, recipe card, garnish, dressing, baking tray, pastry crust, tasting note, whisk, simmering pot, dumpling, spice mix, oven temperature, chopping board,
         portion, soße, rezept, teig, backblech, brühe, ofentemperatur, gewürz,
-        ración, salsa, receta, masa, bandeja de horno, caldo, temperatura del horno, especia,
-        sauce, recette, pâte, plaque de four, bouillon, température du four, épice""",
+        ración, salsa, receta, masa, bandeja de horno, bandeja, caldo, temperatura del horno, especia,
+        sauce, recette, pâte, plaque de four, plaque de cuisson, bouillon, température du four, épice""",
 }
 
 
 def weights(terms: dict[str, str] | None = None) -> dict[str, dict[str, float]]:
-    """Per term (single spaces, no hyphens or underscores) its subjects with weight 1 / number of subjects squared."""
+    """Per term (single spaces, no hyphens or apostrophes) its subjects with weight 1 / number of subjects."""
     by_term: dict[str, set[str]] = {}
     for subject, listed in (terms or TERMS).items():
         for t in listed.split(","):
-            t = " ".join(t.replace("-", " ").replace("_", " ").split()).lower()
+            t = " ".join(t.replace("-", " ").replace("'", " ").split()).lower()
             if t:
                 by_term.setdefault(t, set()).add(subject)
-    return {t: dict.fromkeys(sorted(s), 1 / len(s) ** 2) for t, s in by_term.items()}
+    return {t: dict.fromkeys(sorted(s), 1 / len(s)) for t, s in by_term.items()}
