@@ -1 +1,30 @@
-QUERIES: dict = {}
+"""Queries of problem 2: splitting oversized items at natural boundaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.splitting import split_oversized
+from tessera.operators.deliveries import first_deliveries
+from tessera.runtime import key_of, read_table
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_deliveries(read_table(spark, sf_dir, "chunks"), key_of("id"), "created_at")
+    return split_oversized(rows.select(F.col("key").alias("chunk_id"), "content", "turn_indices"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that had to be split: those with a second piece."""
+    return p2_pieces(spark, sf_dir).filter("piece = 1").select("chunk_id")
+
+
+def p2_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the cuts were made: pieces and their size by kind of boundary."""
+    p = p2_pieces(spark, sf_dir)
+    return p.groupBy("boundary").agg(F.count("*").alias("n_pieces"), F.max("n_tokens").alias("most_tokens"), F.round(F.avg("n_tokens"), 2).alias("mean_tokens"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_boundaries": p2_boundaries}
+ORACLES = {"p2_found": r"SELECT DISTINCT lower(trim(id, E' \t\n\r')) AS chunk_id FROM chunks WHERE ceil(length(content) / 3.5) > 1024"}
