@@ -47,7 +47,7 @@ def bm25_many(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     q = queries.select("qid", F.lower("term").alias("term")).distinct()
     need = q.groupBy("qid").agg(F.count("*").alias("need"))
-    w = docs.select("id", words(F.col("text")).alias("w"))
+    w = docs.select("id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
     size = w.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("av"))
     terms = F.broadcast(q.select("term").distinct())
     tf = w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
