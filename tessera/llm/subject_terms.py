@@ -58,12 +58,32 @@ TERMS = {
 }
 
 
-def weights(terms: dict[str, str] | None = None) -> dict[str, dict[str, float]]:
-    """Per term (single spaces, no hyphens or apostrophes) its subjects with weight 1 / number of subjects."""
+#: Words that are no evidence alone, but tell which subject a term of several subjects stands for.
+CLUES = {
+    "databases": "reindex, commit, backfill, replicate, normalise, roll back, vacuum",
+    "web_frontend": "restyle, mount, animate, render, hydrate, memoise, debounce, lazy load",
+    "networking": "multiplex, throttle, drop, ping, forward, reroute, resolve",
+    "machine_learning": "embed, quantise, train, overfit, calibrate, distil, regularise, converge",
+    "build_tooling": "cache, compile, publish, pin, rebuild, vendor, tag",
+    "security": "revoke, sanitise, rotate, encrypt, harden, exploit, sign, audit",
+    "law": "testify, overturn, sue, indemnify, litigate, enforce, ratify",
+    "sport": "train, dribble, win, score, serve, sprint, qualify",
+    "astronomy": "expose, transit, track, observe, calibrate, collapse",
+    "finance": "accrue, refund, amortise, write off, invest, reconcile",
+    "medicine": "diagnose, operate, treat, vaccinate, dose, prescribe, screen",
+    "cooking": "simmer, fry, knead, proof, season",
+}
+
+
+def weights(terms: dict[str, str] | None = None, clues: dict[str, str] | None = None) -> dict[str, dict[str, float]]:
+    """Per term (single spaces, no hyphens or apostrophes) its subjects with weight 1 / number of subjects; clues that
+    are no terms have weight 0."""
     by_term: dict[str, set[str]] = {}
-    for subject, listed in (terms or TERMS).items():
-        for t in listed.split(","):
-            t = " ".join(t.replace("-", " ").replace("'", " ").split()).lower()
-            if t:
-                by_term.setdefault(t, set()).add(subject)
-    return {t: dict.fromkeys(sorted(s), 1 / len(s)) for t, s in by_term.items()}
+    by_clue: dict[str, set[str]] = {}
+    for into, source in ((by_term, TERMS if terms is None else terms), (by_clue, (CLUES if terms is None else {}) if clues is None else clues)):
+        for subject, listed in source.items():
+            for t in listed.split(","):
+                t = " ".join(t.replace("-", " ").replace("'", " ").split()).lower()
+                if t:
+                    into.setdefault(t, set()).add(subject)
+    return {t: dict.fromkeys(sorted(s), 0.0) for t, s in by_clue.items()} | {t: dict.fromkeys(sorted(s), 1 / len(s)) for t, s in by_term.items()}

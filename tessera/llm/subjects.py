@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.subject_terms import weights
 from tessera.llm.words import INVISIBLE
 
-#: Calibrated on hand-labelled documents: a little more than half of a paragraph's sentences. Of 9,800 documents, fewer
-#: than one in two hundred has a score between 0.51 and 0.59.
+#: Calibrated on hand-labelled documents: a little more than half of a paragraph's sentences. Scores fall into two heaps:
+#: none of some 17,000 (document, subject) pairs lies between 0.51 and 0.57.
 THRESHOLD = 0.54
 #: Letters from which on a misspelt term is still taken for the term.
 LONG_TERM = 7
@@ -46,8 +46,10 @@ def paragraphs(text: str) -> list[str]:
             fenced = not fenced
         if inside or p.lstrip().startswith("```"):
             continue
+        if p.lstrip().startswith("#"):  # a heading is no paragraph
+            p = p.lstrip().partition("\n")[2]
         p = _MARKER.sub("", p).strip()
-        if p and not p.startswith("#"):
+        if p:
             out.append(p)
     return out
 
@@ -99,9 +101,9 @@ class Terms:
         found = []
         for end, (term, length, by) in self.automaton.iter(text):
             tail = text[end + 1 : end + 4]
-            if tail[:1].isalpha():
-                k = 1 if tail[0] == "s" else 2 if tail[:2] in ("es", "en") else 1 if tail[0] in "en" else 0
-                if not k or tail[k : k + 1].isalpha():
+            if tail[:1].isalnum() or tail[:1] == "_":
+                k = 1 if tail[0] == "s" else 2 if tail[:2] == "es" else 0
+                if not k or tail[k : k + 1].isalnum() or tail[k : k + 1] == "_":
                     continue
             while found and found[-1][0] > end - length:  # a longer term holds the one before it
                 found.pop()
@@ -110,6 +112,29 @@ class Terms:
         return len(flat), [(term, bisect_right(ends, end), by) for _, end, term, by in found]
 
 
+def scores(n: int, found: list[tuple[int, int, list]]) -> dict[int, float]:
+    """Score per subject of a paragraph of n sentences with these terms.
+
+    A term of several subjects counts in full for the one that most distinct terms of the paragraph speak for, if there
+    is such a one, and by its weight for each otherwise.
+    """
+    support: dict[int, set[int]] = {}
+    for term, _, subjects in found:
+        for s, _ in subjects:
+            support.setdefault(s, set()).add(term)
+    by: dict[tuple[int, int], float] = {}
+    for _, sentence, subjects in found:
+        ahead = sorted((len(support[s]) for s, _ in subjects), reverse=True)
+        clear = len(ahead) > 1 and ahead[0] > ahead[1]
+        for s, w in subjects:
+            w = 1.0 if clear and w and len(support[s]) == ahead[0] else w
+            by[s, sentence] = max(w, by.get((s, sentence), 0.0))
+    out: dict[int, float] = {}
+    for (s, _), w in by.items():
+        out[s] = out.get(s, 0.0) + w / n
+    return out
+
+
 def _scorer(shared, threshold: float):
     def run(frames):
         terms: Terms = shared.value
@@ -121,14 +146,7 @@ def _scorer(shared, threshold: float):
                     n, found = terms.hits(p)
                     if not found:
                         continue
-                    by: dict[tuple[int, int], float] = {}
-                    for _, sentence, subjects in found:
-                        for s, w in subjects:
-                            by[s, sentence] = max(w, by.get((s, sentence), 0.0))
-                    score: dict[int, float] = {}
-                    for (s, _), w in by.items():
-                        score[s] = score.get(s, 0.0) + w / n
-                    for s, x in score.items():
+                    for s, x in scores(n, found).items():
                         if x > best.get(s, 0.0):
                             best[s] = x
                 rows += [(d, terms.subjects[s], x) for s, x in best.items() if x >= threshold]
