@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import rank_within
 from tessera.runtime import materialise
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -137,27 +138,6 @@ class Slots:
         return container, position
 
 
-def rank_within(items: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Add the zero-based `rank` of each row within `group` by `order`, without gathering a group in one task.
-
-    Rows are range-partitioned by (group, order) and written once with their number in the partition; what each
-    partition holds of each group is counted and summed up into offsets. Ties in `order` get distinct ranks; rows
-    that are equal in all columns are interchangeable.
-    """
-    placed = items.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    placed = materialise(placed.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
-    counts = placed.groupBy(group, "_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    before = F.sum("_n").over(_window(group))
-    offsets = counts.select(group, "_p", "_first", (before - F.col("_n")).alias("_before"))
-    return placed.join(offsets, [group, "_p"]).withColumn("rank", F.col("_i") - F.col("_first") + F.col("_before")).drop("_p", "_i", "_first", "_before")
-
-
-def _window(group: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """Container and position of each document or piece.
 
@@ -178,7 +158,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer_dir: str = TO
             c, p = slots.value.place(f["n"].to_numpy(), f["rank"].to_numpy())
             yield pd.DataFrame({"container": c, "position": p, "doc_id": f["doc_id"], "piece": f["piece"], "first_token": f["first_token"], "n_tokens": f["n"]})
 
-    ranked = rank_within(pieces, "n", ["doc_id", "piece"])
+    ranked = rank_within(pieces, ["n"], ["doc_id", "piece"])
     placed = ranked.select("doc_id", "piece", "first_token", "n", "rank").mapInPandas(place, "container long, position long, doc_id long, piece int, first_token long, n_tokens long")
     none = F.lit(None).cast("long")
     empty = sized.filter("n_tokens = 0").select(none.alias("container"), none.alias("position"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens")
