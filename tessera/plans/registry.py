@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.runtime import Opened
+
 
 class Registry:
     def __init__(self) -> None:
@@ -13,7 +15,7 @@ class Registry:
 
         def add(f):
             n = name or f.__name__
-            self.queries[n] = f
+            self.queries[n] = lambda spark, d: f(Opened(spark), d)
             if sql is not None:
                 self.oracles[n] = sql
             return f

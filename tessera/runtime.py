@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import tempfile
 import uuid
@@ -10,8 +11,34 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Every character that counts as white space at the ends of a key.
-WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+#: Every character that counts as white space at the ends of a key (Unicode white space and the separators 1C to 1F).
+WHITESPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+class Opened:
+    """A session with the store views that one query has opened, so that a view used twice is planned once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self.views: dict = {}
+
+    def __getattr__(self, name: str):
+        return getattr(self._spark, name)
+
+
+def view(f):
+    """A store view: (session, data directory) -> DataFrame, kept for the rest of the query in an Opened session."""
+
+    @functools.wraps(f)
+    def get(spark, d):
+        if not isinstance(spark, Opened):
+            return f(spark, d)
+        key = (f.__name__, d)
+        if key not in spark.views:
+            spark.views[key] = f(spark, d)
+        return spark.views[key]
+
+    return get
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import is_usable
 from tessera.operators.deliveries import first_deliveries
-from tessera.runtime import key_of, read_table
+from tessera.runtime import key_of, read_table, view
 
 #: The embedding model that searches use, and its length.
 SEARCH_MODEL, SEARCH_DIM = "memo-embed-128", 128
 
 
+@view
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk id (the first stored); approx_tokens is recomputed as ceil(characters / 3.5)."""
     rows = first_deliveries(read_table(spark, d, "chunks"), key_of("id"), "created_at")
@@ -25,12 +26,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@view
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges with both keys, once per id; a null weight is 1."""
     e = read_table(spark, d, "edges").select(key_of("id").alias("id"), key_of("source_chunk_id").alias("src"), key_of("target_chunk_id").alias("dst"), "edge_type", "reference_type", F.coalesce("initial_weight", F.lit(1.0)).alias("weight"), "created_at", "link_count")
     return e.filter("id is not null and src is not null and dst is not null").dropDuplicates(["id"])
 
 
+@view
 def forward_edges(spark: SparkSession, d: str) -> DataFrame:
     """Distinct forward links between chunks that exist."""
     ids = chunks(spark, d).select("id")
@@ -38,12 +41,14 @@ def forward_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+@view
 def chunk_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Assignments with both keys, once per pair; distances outside 0 to 1 are null."""
     a = read_table(spark, d, "chunk_clusters").select(key_of("chunk_id").alias("chunk_id"), key_of("cluster_id").alias("cluster_id"), F.when(F.col("distance").between(0, 1), F.col("distance")).alias("distance"), "assigned_at")
     return a.filter("chunk_id is not null and cluster_id is not null").groupBy("chunk_id", "cluster_id").agg(F.min("distance").alias("distance"), F.min("assigned_at").alias("assigned_at"))
 
 
+@view
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     """One row per cluster id (the latest created)."""
     w = Window.partitionBy("id").orderBy(F.desc("created_at"), F.desc_nulls_last("refreshed_at"))
@@ -51,12 +56,14 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+@view
 def search_vectors(spark: SparkSession, d: str) -> DataFrame:
     """id and embedding (doubles) of the usable vectors of the search model, once per id."""
     v = read_table(spark, d, "vectors").filter(key_of("model_id") == SEARCH_MODEL).select(key_of("id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "last_accessed", "orphaned_at")
     return v.filter("id is not null").filter(is_usable("embedding", SEARCH_DIM)).dropDuplicates(["id"])
 
 
+@view
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     """The retrieval log, from the events: the number-th chunk in id order was returned by a tool at a time.
 
