@@ -17,13 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.runtime import broadcast_if_small, materialise
 
 #: A quotient of at most so many fragments is solved within one task (about 100 bytes each).
 SINGLE_TASK_NODES = 200_000
 #: A locality group with more rows than this is split by the hash of the key.
 HOT_GROUP_ROWS = 200_000
 
+#: Tables of at most so many bytes (on disk, compressed) are broadcast.
+BROADCAST_BYTES = 8 << 20
+
 ROOT, OPEN, CYCLE, BELOW = 0, 1, 2, 3
 
 _LOCAL = "key string, parent string, fragment string, hops long, kind int, exit string, least string, trail array<string>"
@@ -151,16 +154,18 @@ def resolve_forest(nodes: DataFrame, with_path: bool = False, _level: int = 0) -
         F.when(F.col("kind") == ROOT, F.col("trail")).otherwise(F.array("key")).alias("path") if with_path else F.lit(None).cast("array<string>").alias("path"),
     )
     opened = local.filter(is_open)
-    exits = opened.filter(F.col("key") == F.col("fragment")).select("fragment", "exit")
+    exits = materialise(opened.filter(F.col("key") == F.col("fragment")).select("fragment", "exit"), f"exits{_level}")
     # where each exit leads: its own fragment, the distance to that fragment's root, and what kind it is
+    # (the few exits are sent to the nodes where their size allows, so the nodes are not shuffled)
     targets = local.select(F.col("key").alias("exit"), F.col("fragment").alias("to"), F.col("hops").alias("to_hops"), F.col("kind").alias("to_kind"), F.col("trail").alias("to_trail"), F.col("least").alias("to_least"))
-    quotient = materialise(exits.join(targets, "exit", "left"), f"quotient{_level}")
+    wanted = materialise(targets.join(broadcast_if_small(exits.select("exit").distinct(), BROADCAST_BYTES), "exit", "left_semi"), f"targets{_level}")
+    quotient = materialise(exits.join(wanted, "exit", "left"), f"quotient{_level}")
     n_open = quotient.count()
     if n_open == 0:
         return closed
     solved = _solve_quotient(quotient, n_open, with_path, _level)
     no_path = F.lit(None).cast("array<string>")
-    through = opened.join(solved.filter("depth <> -1"), "fragment").select(
+    through = opened.join(broadcast_if_small(solved.filter("depth <> -1"), BROADCAST_BYTES), "fragment").select(
         "key",
         "root",
         F.when(F.col("depth") >= 0, F.col("depth") + F.col("hops")).otherwise(F.lit(-2)).cast("long").alias("depth"),
