@@ -30,6 +30,9 @@ CANDIDATES = 8_000
 #: Entries, and queries, of one task at most (on average of a random split).
 BLOCK = 15_000
 DIGITS = 6
+#: Bits for the place of an id within a block, which must hold fewer than LAST rows.
+PLACE_BITS = 24
+LAST = (1 << PLACE_BITS) - 1
 
 
 def usable_vectors(scan: DataFrame) -> DataFrame:
@@ -255,18 +258,19 @@ def nearest_kernel(keep: int, least: float):
             return pd.DataFrame({"model": [], "rep": [], "id": [], "cosine": []})
         qr, er, ids = queries["rep"].to_numpy(object), entries["rep"].to_numpy(object), entries["ids"].to_numpy(object)
         size = np.array([len(i) for i in ids])
+        # cosines as whole numbers over the place in id order: no two are equal, so exactly `keep` are taken however
+        # many ties there are
+        q_place, e_place = LAST - np.argsort(np.argsort(qr)), LAST - np.argsort(np.argsort(er))
         parts = []
         for mine, some, c in cell_products(queries, entries, dim):
-            c = np.round(c, DIGITS)
-            # the k-th best of each side bounds what can matter; ties at the bound stay
-            k = min(keep, c.shape[1])
-            bound = np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k][:, None]
-            a, b = np.nonzero((c >= bound) & (c >= least))
-            parts.append((mine[a], some[b], c[a, b], True))
-            k = min(keep, c.shape[0])
-            bound = np.partition(c, c.shape[0] - k, axis=0)[c.shape[0] - k]
-            a, b = np.nonzero((c >= bound) & (c >= least))
-            parts.append((mine[a], some[b], c[a, b], False))
+            c = np.rint(c * 10**DIGITS).astype(np.int64) << PLACE_BITS
+            for forward, key in ((True, c + e_place[some]), (False, (c + q_place[mine][:, None]).T)):
+                k = min(keep, key.shape[1])
+                at = np.argpartition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k :]
+                cosine = (np.take_along_axis(key, at, 1) >> PLACE_BITS) / 10**DIGITS
+                x, y = np.nonzero(cosine >= least)
+                other = at[x, y]
+                parts.append((mine[x], some[other], cosine[x, y], True) if forward else (mine[other], some[x], cosine[x, y], False))
         frames = []
         for a, b, c, forward in parts:
             if forward:
