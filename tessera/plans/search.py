@@ -10,7 +10,7 @@ from tessera.functions.porter import stems
 from tessera.operators import fulltext, retrieval
 from tessera.operators import vector_search as VS
 from tessera.plans.registry import Registry
-from tessera.runtime import read_table
+from tessera.runtime import materialise, read_table
 from tessera.sources import store as S
 from tessera.sources.store import prelude as P
 
@@ -219,7 +219,8 @@ def _lists(spark, d):
 
 
 def _fused(spark, d):
-    return retrieval.fuse(_lists(spark, d)).withColumn("score", F.round("score", 9))
+    """The fused list, at most 40 rows: written once, as everything that follows reads it several times."""
+    return materialise(retrieval.fuse(_lists(spark, d)).withColumn("score", F.round("score", 9)), "fused")
 
 
 @register(f"{_PIPE} SELECT id, score, source FROM rrf")
@@ -234,9 +235,10 @@ sb AS (SELECT ad.id, o, hit * (1 - dist) AS score, row_number() OVER (PARTITION
 ex AS (SELECT id, round(arg_min(score, o), 9) AS score, 'cluster' AS source FROM sb WHERE n <= 5 GROUP BY 1)"""
 
 
-def _expanded(spark, d):
-    hits = _fused(spark, d)
-    return retrieval.expand_clusters(hits, S.chunk_clusters(spark, d), S.chunks(spark, d)).withColumn("score", F.round("score", 9))
+def _expanded(spark, d, hits=None):
+    hits = _fused(spark, d) if hits is None else hits
+    near = retrieval.expand_clusters(hits, S.chunk_clusters(spark, d), S.chunks(spark, d)).withColumn("score", F.round("score", 9))
+    return materialise(near, "near")
 
 
 @register(f"{_PIPE}, {_EXPAND} SELECT * FROM ex")
@@ -249,8 +251,8 @@ sc AS (SELECT p.id, p.source, c.approx_tokens, c.content, round(p.score * (1 + 0
 
 
 def _scored(spark, d):
-    hits = _fused(spark, d).select("id", "score", "source")
-    pool = hits.unionByName(_expanded(spark, d).select("id", "score", "source"))
+    hits = _fused(spark, d)
+    pool = hits.select("id", "score", "source").unionByName(_expanded(spark, d, hits).select("id", "score", "source"))
     c = S.chunks(spark, d).select("id", "approx_tokens", "content", "start_time")
     s = F.col("score") * retrieval.recency(F.col("start_time"), F.lit(NOW).cast("timestamp")) * retrieval.length_penalty(F.col("approx_tokens"))
     return c.join(F.broadcast(pool), "id").select("id", "source", "approx_tokens", "content", F.round(s, 9).alias("score"))
