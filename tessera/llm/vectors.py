@@ -1,8 +1,11 @@
 """An inverted multi-index over vectors: the most similar vectors of every vector, and links above a similarity.
 
 Method: vectors are scaled to unit length and cut into two halves, each quantised by a codebook of its own; a cell is a
-pair of codewords. For a query the cells are traversed by summed distance of the pair, with a heap, until they hold
-enough entries; the entries of these cells are reranked by their exact cosine.
+pair of codewords. A query visits every cell that can hold a vector of the least cosine asked for: by the triangle
+inequality, from its distance to both codewords and the span of the cell's distances to them. No number of entries ends
+the search, so nothing is lost; where the bound rules nothing out, all pairs are compared. Of two cells one visits the
+other, and both sides of a pair learn of it. Cosines are exact. (A caller may ask for a shorter, approximate search that
+traverses the cells by summed distance, with a heap, until they hold `enough` entries.)
 
 Cells with the same first codeword form a row. A query travels once to each row it visits, with the list of cells
 there. Rows are cut into blocks of bounded size on both sides, so no cell, however full, is one task's work. Equal
@@ -25,11 +28,11 @@ from tessera.runtime import broadcast_if_small, key_of, materialise
 
 #: Vectors per model that the codebooks are fitted on at most, entries per cell aimed at, and codewords at most.
 SAMPLE, PER_CELL, MOST_WORDS = 20_000, 200, 256
-#: Entries that the visited cells of a query hold at least.
-CANDIDATES = 8_000
 #: Entries, and queries, of one task at most (on average of a random split).
 BLOCK = 15_000
 DIGITS = 6
+#: Added to bounds, above the errors of floating point and of rounding to DIGITS.
+SLACK = 2e-6
 #: Bits for the place of an id within a block, which must hold fewer than LAST rows.
 PLACE_BITS = 24
 LAST = (1 << PLACE_BITS) - 1
@@ -103,6 +106,9 @@ class Codebooks:
     first: np.ndarray
     second: np.ndarray
     counts: np.ndarray | None = None
+    #: The largest and the smallest distance of each cell's entries to its first and to its second codeword.
+    far: np.ndarray | None = None
+    near: np.ndarray | None = None
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.dim // 2
@@ -127,6 +133,18 @@ class Codebooks:
                 heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
         return out
 
+    def reachable(self, d1: np.ndarray, d2: np.ndarray, own: tuple[int, int], least: float) -> list[tuple[int, int]]:
+        """The cells that can hold a vector with a cosine of `least` to the query, of those whose turn is not to visit `own`.
+
+        Cells are numbered round a circle and visit the half that follows, so of any two at least one visits the other.
+        """
+        a, b = np.sqrt(np.maximum(d1, 0))[:, None], np.sqrt(np.maximum(d2, 0))[None, :]
+        low = sum(np.maximum(0, np.maximum(d - self.far[h], self.near[h] - d) - SLACK) ** 2 for h, d in enumerate((a, b)))
+        n = self.counts.size
+        ahead = (np.arange(n).reshape(self.counts.shape) - (own[0] * self.counts.shape[1] + own[1])) % n
+        x, y = np.nonzero((self.counts > 0) & (ahead <= n // 2) & (low <= 2 - 2 * least + SLACK))
+        return list(zip(x.tolist(), y.tolist()))
+
 
 def fit(entries: DataFrame, sample: int = SAMPLE, per_cell: int = PER_CELL) -> dict[str, Codebooks]:
     """Codebooks per model (models are few), from the `sample` vectors with the smallest hash of their id."""
@@ -146,27 +164,34 @@ def fit(entries: DataFrame, sample: int = SAMPLE, per_cell: int = PER_CELL) -> d
 
 
 def index(entries: DataFrame, books: dict[str, Codebooks]) -> tuple[DataFrame, dict[str, Codebooks]]:
-    """Entries with their cell (c1, c2), written once; the books with the counts of their cells (at most words squared)."""
+    """Entries with their cell (c1, c2) and distances to its codewords, written once; the books with the counts and spans
+    of their cells (at most words squared)."""
     shared = entries.sparkSession.sparkContext.broadcast(books)
 
     def assign(frames):
         for f in frames:
             c1, c2 = np.zeros(len(f), np.int32), np.zeros(len(f), np.int32)
+            s1, s2 = np.zeros(len(f)), np.zeros(len(f))
             for model, at in f.groupby("model", sort=False).indices.items():
                 book = shared.value[model]
                 d1, d2 = book.halves(_unit([f["v"].iat[i] for i in at], book.dim))
                 c1[at], c2[at] = d1.argmin(1), d2.argmin(1)
-            yield pd.DataFrame({"model": f["model"], "rep": f["rep"], "ids": f["ids"], "v": f["v"], "c1": c1, "c2": c2})
+                s1[at], s2[at] = np.sqrt(np.maximum(d1.min(1), 0)), np.sqrt(np.maximum(d2.min(1), 0))
+            yield pd.DataFrame({"model": f["model"], "rep": f["rep"], "ids": f["ids"], "v": f["v"], "c1": c1, "c2": c2, "s1": s1, "s2": s2})
 
-    placed = materialise(entries.mapInPandas(assign, "model string, rep string, ids array<string>, v binary, c1 int, c2 int"), "index")
+    placed = materialise(entries.mapInPandas(assign, "model string, rep string, ids array<string>, v binary, c1 int, c2 int, s1 double, s2 double"), "index")
     for b in books.values():
         b.counts = np.zeros((len(b.first), len(b.second)), np.int64)
-    for r in placed.groupBy("model", "c1", "c2").count().collect():
-        books[r.model].counts[r.c1, r.c2] = r["count"]
+        b.far, b.near = np.zeros((2, *b.counts.shape)), np.zeros((2, *b.counts.shape))
+    spans = [g(c).alias(f"{n}{c}") for n, g in (("far", F.max), ("near", F.min)) for c in ("s1", "s2")]
+    for r in placed.groupBy("model", "c1", "c2").agg(F.count("*").alias("n"), *spans).collect():
+        b = books[r.model]
+        b.counts[r.c1, r.c2] = r.n
+        b.far[:, r.c1, r.c2], b.near[:, r.c1, r.c2] = (r.fars1, r.fars2), (r.nears1, r.nears2)
     return placed, books
 
 
-def visits(placed: DataFrame, books: dict[str, Codebooks], enough: int) -> DataFrame:
+def visits(placed: DataFrame, books: dict[str, Codebooks], least: float, enough: int | None = None) -> DataFrame:
     """Per query and row of cells the second codewords to look at there: model, rep, v, row, cells."""
     shared = placed.sparkSession.sparkContext.broadcast(books)
 
@@ -179,7 +204,8 @@ def visits(placed: DataFrame, books: dict[str, Codebooks], enough: int) -> DataF
                 d1, d2 = book.halves(_unit(raw, book.dim))
                 for k, i in enumerate(at):
                     by: dict[int, list[int]] = {}
-                    for a, b in book.traverse(d1[k], d2[k], enough):
+                    own = int(f["c1"].iat[i]), int(f["c2"].iat[i])
+                    for a, b in book.reachable(d1[k], d2[k], own, least) if enough is None else book.traverse(d1[k], d2[k], enough):
                         by.setdefault(a, []).append(b)
                     for a, bs in by.items():
                         model.append(m)
@@ -189,10 +215,10 @@ def visits(placed: DataFrame, books: dict[str, Codebooks], enough: int) -> DataF
                         cells.append(bs)
             yield pd.DataFrame({"model": model, "rep": rep, "v": v, "row": np.array(row, np.int32), "cells": cells})
 
-    return placed.select("model", "rep", "v").mapInPandas(run, "model string, rep string, v binary, row int, cells array<int>")
+    return placed.select("model", "rep", "v", "c1", "c2").mapInPandas(run, "model string, rep string, v binary, row int, cells array<int>")
 
 
-def meet(placed: DataFrame, books: dict[str, Codebooks], enough: int, kernel, schema: str, block: int = BLOCK) -> DataFrame:
+def meet(placed: DataFrame, books: dict[str, Codebooks], least: float, kernel, schema: str, block: int = BLOCK, enough: int | None = None) -> DataFrame:
     """Bring the queries of each row of cells together with its entries and run `kernel(queries, entries, dim)`.
 
     Both sides are cut into blocks: rows of more than `block` entries by the hash of the id, with the queries repeated
@@ -200,7 +226,7 @@ def meet(placed: DataFrame, books: dict[str, Codebooks], enough: int, kernel, sc
     """
     spark = placed.sparkSession
     rows = {(m, i): int(n) for m, b in books.items() for i, n in enumerate(b.counts.sum(1))}
-    asked = visits(placed, books, enough)
+    asked = visits(placed, books, least, enough)
     # an upper bound on the queries of a row is all queries of its model; the blocks for it are fixed before the run
     total = {m: int(b.counts.sum()) for m, b in books.items()}
     plan = spark.createDataFrame([(m, i, max(1, -(-n // block)), max(1, -(-total[m] // block))) for (m, i), n in sorted(rows.items()) if n], "model string, row int, eb int, qb int")
@@ -261,14 +287,29 @@ def nearest_kernel(keep: int, least: float):
         # cosines as whole numbers over the place in id order: no two are equal, so exactly `keep` are taken however
         # many ties there are
         q_place, e_place = LAST - np.argsort(np.argsort(qr)), LAST - np.argsort(np.argsort(er))
+        # cosines that `keep` others of one product reach already; smaller ones cannot be among the best
+        q_least, e_least = np.full(len(qr), least), np.full(len(er), least)
         parts = []
         for mine, some, c in cell_products(queries, entries, dim):
+            if least > -1:
+                x, y = np.nonzero(c >= least - SLACK)
+                if not len(x):
+                    continue
+                if len(x) * 20 <= c.size:  # few: taken as they are, without a choice per row
+                    cosine = np.rint(c[x, y] * 10**DIGITS) / 10**DIGITS
+                    for forward, low in ((True, q_least[mine[x]]), (False, e_least[some[y]])):
+                        ok = cosine >= low
+                        parts.append((mine[x[ok]], some[y[ok]], cosine[ok], forward))
+                    continue
             c = np.rint(c * 10**DIGITS).astype(np.int64) << PLACE_BITS
             for forward, key in ((True, c + e_place[some]), (False, (c + q_place[mine][:, None]).T)):
                 k = min(keep, key.shape[1])
                 at = np.argpartition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k :]
                 cosine = (np.take_along_axis(key, at, 1) >> PLACE_BITS) / 10**DIGITS
-                x, y = np.nonzero(cosine >= least)
+                low, rows = (q_least, mine) if forward else (e_least, some)
+                if k == keep:
+                    low[rows] = np.maximum(low[rows], cosine.min(1))
+                x, y = np.nonzero(cosine >= low[rows][:, None])
                 other = at[x, y]
                 parts.append((mine[x], some[other], cosine[x, y], True) if forward else (mine[other], some[x], cosine[x, y], False))
         frames = []
@@ -287,12 +328,13 @@ def nearest_kernel(keep: int, least: float):
     return run
 
 
-def nearest(scan: DataFrame, k: int = 5, least: float = -1.0, enough: int = CANDIDATES, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
+def nearest(scan: DataFrame, k: int = 5, least: float = -1.0, enough: int | None = None, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
     """The k most similar vectors of every usable vector of the same model: model, id, rank, neighbour, cosine.
 
     Cosines are rounded to 6 decimals, ties go to the smaller id, a vector is not its own neighbour. Only neighbours of
     at least `least` are given. Vectors that are null, of another length, zero or not finite have no rows; repeated rows
-    count once; equal vectors under different ids are neighbours of each other.
+    count once; equal vectors under different ids are neighbours of each other. `enough` makes the search approximate:
+    it then ends at cells that hold so many entries.
     """
     keep = k + 1
     entries, copies = classes(materialise(usable_vectors(scan), "usable"), keep)
@@ -300,7 +342,7 @@ def nearest(scan: DataFrame, k: int = 5, least: float = -1.0, enough: int = CAND
     if entries.isEmpty():
         return scan.sparkSession.createDataFrame([], "model string, id string, rank int, neighbour string, cosine double")
     placed, books = index(entries, fit(entries, per_cell=per_cell))
-    found = materialise(meet(placed, books, enough, nearest_kernel(keep, least), "rep string, id string, cosine double", block), "found")
+    found = materialise(meet(placed, books, least, nearest_kernel(keep, least), "rep string, id string, cosine double", block, enough), "found")
     # an entry that was visited knows its visitor's smallest id only; the class's other ids follow here
     more = copies.select("model", F.col("rep").alias("id")).distinct()
     wide = found.join(broadcast_if_small(materialise(more, "more"), 8 << 20), ["model", "id"], "left_semi")
