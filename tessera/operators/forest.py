@@ -248,11 +248,15 @@ def _by_doubling(nodes: DataFrame, n: int, level: int) -> DataFrame:
             break
     roots = nodes.filter("parent is null").select(F.col("key").alias("parent"), F.lit(True).alias("ends"))
     done = links.join(roots, "parent", "left")
-    on_cycle = done.filter("parent is not null and ends is null").select(F.col("parent").alias("key")).distinct().withColumn("on_cycle", F.lit(True))
+    # after this many rounds a pointer that does not end at a root is on its cycle, and all of that cycle has been walked
+    # from there: `low` of the pointer's end is the cycle's smallest key, while one's own takes in the keys before it
+    ends_at = done.filter("parent is not null and ends is null").select("parent").distinct()
+    lows = materialise(links.join(ends_at.select(F.col("parent").alias("key")), "key", "left_semi").select("key", F.col("low").alias("cycle_low")), f"lows{level}")
+    on_cycle = lows.select("key", F.lit(True).alias("on_cycle"))
     return materialise(
-        done.join(on_cycle, "key", "left").select(
+        done.join(on_cycle, "key", "left").join(lows.select(F.col("key").alias("parent"), "cycle_low"), "parent", "left").select(
             "key",
-            F.when(F.col("parent").isNull(), F.col("key")).when(F.col("ends"), F.col("parent")).otherwise(F.col("low")).alias("top"),
+            F.when(F.col("parent").isNull(), F.col("key")).when(F.col("ends"), F.col("parent")).otherwise(F.col("cycle_low")).alias("top"),
             F.when(F.col("parent").isNull() | F.col("ends"), F.col("hops")).when(F.col("on_cycle"), -1).otherwise(-2).cast("long").alias("q_depth"),
         ),
         f"doubled{level}",

@@ -56,3 +56,16 @@ def test_empty_and_self_parent(spark):
     assert resolve_forest(spark.createDataFrame([], s)).collect() == []
     got = resolve_forest(spark.createDataFrame([("a", "a", 1), ("b", "a", 2)], s)).collect()
     assert {(x.key, x.root, x.depth) for x in got} == {("a", "a", -1), ("b", "a", -2)}
+
+
+def test_cycle_across_partitions_with_smaller_keys_below(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SINGLE_TASK_NODES", 3)
+    parents = {f"m{i:02d}": f"m{(i + 1) % 20:02d}" for i in range(20)}
+    parents |= {f"a{i:02d}": f"a{i + 1:02d}" for i in range(19)} | {"a19": "m05", "z1": "a00", "r": None, "c1": "r", "c2": "c1"}
+    rows = [(k, p, i) for i, (k, p) in enumerate(parents.items())]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would put all rows into one partition
+    try:
+        got = {x.key: (x.root, x.depth) for x in resolve_forest(spark.createDataFrame(rows, "key string, parent string, bucket long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == brute(parents)
