@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import transcripts as T
 from tessera.operators.deliveries import first_deliveries
-from tessera.plans.nested import _JSON
+from tessera.plans.nested import BLOCKS_SQL
 from tessera.plans.registry import Registry
 from tessera.runtime import key_of, materialise, read_table
 from tessera.sources import jsonl
@@ -59,7 +59,7 @@ nu AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY sessi
 tn AS (SELECT *, CAST(n - least(min(n) OVER (PARTITION BY session), 1) AS INTEGER) AS turn FROM nu)"""
 
 
-@register(f"WITH RECURSIVE {_JSON}, {_TURN} SELECT session, turn, count(*) AS n_messages, min(ing) AS started, bool_or(opens) AS opened FROM tn GROUP BY 1, 2")
+@register(f"WITH RECURSIVE {BLOCKS_SQL}, {_TURN} SELECT session, turn, count(*) AS n_messages, min(ing) AS started, bool_or(opens) AS opened FROM tn GROUP BY 1, 2")
 def session_turns(spark, d):
     """Turn assembly: messages between turn openings."""
     t = T.turns(_messages(spark, d))
@@ -84,7 +84,7 @@ us AS (SELECT session, block->>'$.id' AS tool_use_id, arg_min(uuid, (ing, uuid,
 rs AS (SELECT session, block->>'$.tool_use_id' AS tool_use_id, arg_min(uuid, (ing, uuid, block_path)) AS result_uuid FROM ub WHERE block->>'$.type' = 'tool_result' AND block->>'$.tool_use_id' IS NOT NULL GROUP BY 1, 2)"""
 
 
-@register(f"WITH RECURSIVE {_JSON}, {_EX} SELECT us.session, us.tool_use_id, name, use_uuid, result_uuid FROM us LEFT JOIN rs ON us.session = rs.session AND us.tool_use_id = rs.tool_use_id")
+@register(f"WITH RECURSIVE {BLOCKS_SQL}, {_EX} SELECT us.session, us.tool_use_id, name, use_uuid, result_uuid FROM us LEFT JOIN rs ON us.session = rs.session AND us.tool_use_id = rs.tool_use_id")
 def tool_exchanges(spark, d):
     return T.tool_exchanges(_messages(spark, d)).select("session", "tool_use_id", "name", "use_uuid", "result_uuid")
 

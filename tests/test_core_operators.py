@@ -1,5 +1,6 @@
 """Small fixtures for the core operators: nulls, ties, repeated rows, empty tables, clashing names."""
 
+import json
 import random
 
 import numpy as np
@@ -24,7 +25,8 @@ from tessera.operators.deliveries import first_deliveries
 from tessera.operators.fulltext import bm25, bm25_many
 from tessera.operators.ranking import rank_within, running_sum
 from tessera.operators.references import dangling_references
-from tessera.operators.shred import blocks_of, flatten, shred_blocks
+from tessera.functions import deep_json
+from tessera.operators.shred import assemble, blocks_of, flatten, shred_blocks, shred_leaves, split_plain, stripe
 
 
 def one(spark, column, rows, schema):
@@ -42,7 +44,7 @@ def test_first_deliveries(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "content,n",
-    [(None, None), ("", None), ("plain", None), ("[]", None), ("[1, 2]", None), ('{"type":"text"}', 1), ('[{"type":"a"},{"b":1}]', 2), ('"[{\\"type\\":\\"x\\"}]"', 1), ('"words"', None), ('[{"type":', None), ("[Image] hello", None)],
+    [(None, None), ("", None), ("plain", None), ("[]", 0), ("[1, 2]", None), ('{"type":"text"}', 1), ('[{"type":"a"},{"b":1}]', 2), ('"[{\\"type\\":\\"x\\"}]"', 1), ('"words"', None), ('[{"type":', None), ("[Image] hello", None)],
 )
 def test_blocks_of(content, n):
     got = blocks_of(content)
@@ -72,10 +74,41 @@ def test_shredding_is_a_round_trip(spark):
     want = {(i, p): (b["type"], b["text"], b["tool_use_id"]) for i, rec in enumerate(records) for p, b in walk(rec, [])}
     assert have == want and len(got["record"]) == len(want)
     assert all(p.rpartition(".")[0] == (q or "") for p, q in zip(got["block_path"], got["parent_path"]))
+    back = assemble(stripe(records), len(records))
+    assert back == records
     df = spark.createDataFrame([("m", '[{"type":"tool_result","content":[{"type":"text","text":"y"}]}]', 1), ("n", None, 2), ("o", "text", 3)], "id string, content string, type int")
     assert [(x.message_id, x.block_path) for x in shred_blocks(df, "id", "content").collect()] == [("m", "0"), ("m", "0.0")]
 
 
+def test_nothing_is_lost_in_shredding(spark):
+    texts = ["[note] hello", '[{"type":"image","source":{"url":"u"},"signature":"s"},"bare",{}]', "[]", None, '{"type":', '["a"]']
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
+    got = {r.id: (r.plain_text, r.n_blocks) for r in split_plain(df).collect()}
+    assert got == {"0": (texts[0], 0), "1": (None, 2), "2": (None, 0), "3": (None, 0), "4": (texts[4], 0), "5": (texts[5], 0)}
+    leaves = {(r.block_path, r.leaf_path): (r.value, r.definition) for r in shred_leaves(df, "id", "content").collect()}
+    assert leaves == {("0", "type"): ("image", 3), ("0", "source"): ('{"url":"u"}', 3), ("0", "signature"): ("s", 3), ("1", "*"): ("bare", 3)}
+    assert {r.block_path: r.extra for r in shred_blocks(df, "id", "content").collect()} == {"0": {"source": '{"url":"u"}', "signature": "s"}, "2": {}}
+
+
+def test_deep_nesting(spark):
+    deep = '{"type":"t","content":"end"}'
+    for _ in range(20_000):
+        deep = '{"type":"t","content":[' + deep + "]}"
+    payload = "[" * 30_000 + "]" * 30_000
+    df = spark.createDataFrame([("a", '[{"type":"t","input":' + payload + "}]")], "id string, content string")
+    assert shred_blocks(df, "id", "content").first().input == payload
+    v = deep_json.loads(deep)
+    assert deep_json.dumps(v) == deep
+    for _ in range(20_000):
+        v = v["content"][0]
+    assert v["content"] == "end"
+    for bad in ('{"a" 1}', "[1 2]", "[1] x", "[", '{"a":', "nope"):
+        with pytest.raises(ValueError):
+            deep_json._loads(bad)
+    text = ' {"a": [1, -2.5e3, true, null, "x\u00e9"], "b": {}, "c": []} '
+    assert deep_json._loads(text) == json.loads(text)
+
+
 def test_references(spark):
     ref = "table_name string, column_name string, row_key string, parent_table string, ref_key string, ref_time timestamp"
     t = lambda s: __import__("datetime").datetime.fromisoformat(s)
