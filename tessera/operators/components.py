@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import materialise
 
-MAX_ROUNDS = 60
+#: Rounds after which something must be wrong: a few times the logarithm of any number of nodes.
+MAX_ROUNDS = 200
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and a join back; the number of rounds grows with the logarithm of the size. Nulls are left out, loops make their
     node a component of its own if it has no other edge; node types need an order.
     """
-    e = edges.select("src", "dst").filter("src is not null and dst is not null")
+    e = materialise(edges.select("src", "dst").filter("src is not null and dst is not null"), "edges")
     alone = e.filter("src = dst").select(F.col("src").alias("node")).distinct()
     links = e.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     links = materialise(links, "links")
@@ -35,6 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
     found = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     roots = found.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     out = found.unionByName(roots)

@@ -2,8 +2,10 @@
 
 Method: each partition contracts its own parent chains to fragment exits with one vectorised pass; the fragments
 whose root has its parent in another partition form a much smaller quotient forest, which is solved by the same
-procedure; its solution is joined back to the fragments. Cycles within a partition show in the local pass, cycles
-across partitions in the quotient.
+procedure (its nodes meet in new partitions: by the toss of a coin a node goes where its parent goes, so that every
+round contracts a quarter of the links or more), until one task holds what is left; each solution is joined back to the
+fragments of the level above. Cycles within a partition show in the local pass, cycles across partitions in a quotient.
+Partitions are sized by the number of rows.
 
 The result is the same for every partitioning; a good `locality` column (session, file, tenant) only makes the
 quotient small.
@@ -17,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import broadcast_if_small, materialise
+from tessera.runtime import broadcast_if_small, materialise, shuffle_width
 
-#: A quotient of at most so many fragments is solved within one task (about 100 bytes each).
-SINGLE_TASK_NODES = 200_000
+#: Nodes that one task contracts on average (about 200 bytes each); a quotient of so many is solved within one task.
+NODES_PER_TASK = 200_000
+#: Below that, nodes that make a task of their own worth while.
+LEAST_NODES = 20_000
 #: A locality group with more rows than this is split by the hash of the key.
 HOT_GROUP_ROWS = 200_000
 
@@ -29,21 +33,22 @@ BROADCAST_BYTES = 8 << 20
 
 ROOT, OPEN, CYCLE, BELOW = 0, 1, 2, 3
 
-_LOCAL = "key string, parent string, fragment string, hops long, kind int, exit string, least string, trail array<string>"
+_LOCAL = "key string, parent string, weight long, fragment string, hops long, kind int, exit string, least string, trail array<string>"
 
 
-def contract_chains(key: pa.Array, parent: pa.Array, weight: np.ndarray, with_trail: bool = False) -> dict:
+def contract_chains(key: pa.Array, parent: pa.Array, weight: np.ndarray, low: pa.Array, with_trail: bool = False) -> dict:
     """Contract the parent chains of one set of distinct keys.
 
-    For each key: `fragment` (the last key reached within the set, or for cycles the smallest key on it), `hops` (the
+    For each key: `fragment` (the last key reached within the set, or for cycles the smallest `low` on it), `hops` (the
     summed weights up to it), `kind`, `exit` (the parent outside the set that an OPEN fragment ends at), `least` (the
-    smallest key between the key and the fragment's root) and, if asked for, `trail` (the keys from the fragment's
-    root down to the key). An empty set gives empty columns.
+    smallest `low` from the key to the fragment's root) and, if asked for, `trail` (the keys from the fragment's
+    root down to the key). `low` is what names a cycle: the key itself, or the smallest of the keys that a contracted
+    link stands for. An empty set gives empty columns.
     """
     n = len(key)
     inside = pc.fill_null(pc.index_in(parent, value_set=key), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     inside[np.asarray(parent.is_null())] = -1
-    rank_order = np.asarray(pc.array_sort_indices(key)).astype(np.int64)
+    rank_order = np.asarray(pc.array_sort_indices(low)).astype(np.int64)
     rank = np.empty(n, np.int64)
     rank[rank_order] = np.arange(n)
     self_ = np.arange(n)
@@ -60,24 +65,24 @@ def contract_chains(key: pa.Array, parent: pa.Array, weight: np.ndarray, with_tr
         ptr = nxt
     kind = np.where(np.asarray(parent.is_null())[ptr], ROOT, OPEN)
     caught = ~top[ptr]
-    root = ptr.copy()
+    named = self_.copy()
     if caught.any():
         on_cycle = np.zeros(n, bool)
         on_cycle[ptr[caught]] = True
         # each cycle's smallest key: minima over doubling strides of the cycle's own links
-        low, step = rank.copy(), np.where(top, self_, inside)
+        lows, step = rank.copy(), np.where(top, self_, inside)
         for _ in range(int(n).bit_length() + 1):
-            low = np.minimum(low, low[step])
+            lows = np.minimum(lows, lows[step])
             step = step[step]
-        root[caught] = rank_order[low[ptr[caught]]]
+        named[caught] = rank_order[lows[ptr[caught]]]
         kind[caught] = np.where(on_cycle[caught], CYCLE, BELOW)
         hops[caught] = np.where(on_cycle[caught], -1, -2)
     out = {
-        "fragment": key.take(pa.array(root)),
+        "fragment": pc.if_else(pa.array(caught), low.take(pa.array(named)), key.take(pa.array(ptr))),
         "hops": pa.array(hops),
         "kind": pa.array(kind.astype(np.int32)),
         "exit": pc.if_else(pa.array(kind == OPEN), parent.take(pa.array(ptr)), pa.scalar(None, pa.string())),
-        "least": key.take(pa.array(rank_order[least])) if n else key,
+        "least": low.take(pa.array(rank_order[least])) if n else low,
     }
     if with_trail:
         names, trails = key.to_pylist(), [None] * n
@@ -101,16 +106,22 @@ def _kernel(with_trail: bool):
         t = pa.Table.from_batches(batches).combine_chunks()
         col = lambda c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
         key, parent = col("key"), col("parent")
-        got = contract_chains(key, parent, t.column("weight").to_numpy(), with_trail)
-        out = pa.table({"key": key, "parent": parent, **got})
+        got = contract_chains(key, parent, t.column("weight").to_numpy(), col("low"), with_trail)
+        out = pa.table({"key": key, "parent": parent, "weight": col("weight"), **got})
         yield from out.to_batches(max_chunksize=20_000)
 
     return run
 
 
-def _contract(nodes: DataFrame, with_trail: bool, single: bool) -> DataFrame:
-    parts = nodes.coalesce(1) if single else nodes.repartition("bucket")
-    return parts.select("key", "parent", "weight").mapInArrow(_kernel(with_trail), _LOCAL)
+def _parts(spark, n: int) -> int:
+    """Partitions for n nodes: none above NODES_PER_TASK on average, no more than the session's width without need."""
+    return max(1, -(-n // NODES_PER_TASK), min(shuffle_width(spark), n // LEAST_NODES))
+
+
+def _contract(nodes: DataFrame, n: int, with_trail: bool, level: int) -> DataFrame:
+    parts = 1 if level and n <= NODES_PER_TASK else _parts(nodes.sparkSession, n)
+    placed = nodes.coalesce(1) if parts == 1 else nodes.repartition(parts, "bucket")
+    return placed.select("key", "parent", "weight", "low").mapInArrow(_kernel(with_trail), _LOCAL)
 
 
 def _mark_cycle(batches):
@@ -135,16 +146,20 @@ def resolve_forest(nodes: DataFrame, with_path: bool = False, _level: int = 0) -
     """Root and depth of every node of a parent-child table.
 
     nodes: `key` (distinct, not null), `parent` (null for none), `bucket` (locality), optional `weight` (hops to the
-    parent, 1 if absent). Result: `key`, `root`, `depth`, `dangling` (the chain ends at a parent that is no key),
-    and `path` (keys from the root down to the node; null unless asked for).
+    parent, 1 if absent) and `low` (what names a cycle, the key if absent). It is read twice, so it had better be a
+    written table. Result: `key`, `root`, `depth`, `dangling` (the chain ends at a parent that is no key), and `path`
+    (keys from the root down to the node; null unless asked for).
 
     Defined cases: a parent that is no key makes its child a root, with `dangling` true all the way down; a node on a
     cycle (also its own parent) has depth -1, one below a cycle -2, both with the cycle's smallest key as root and a
     path of only itself; an empty table gives an empty result. `key` duplicates must be removed before.
     """
+    n = nodes.count()
     if "weight" not in nodes.columns:
         nodes = nodes.withColumn("weight", F.lit(1).cast("long"))
-    local = materialise(_contract(nodes, with_path, single=False), f"forest{_level}")
+    if "low" not in nodes.columns:
+        nodes = nodes.withColumn("low", F.col("key"))
+    local = materialise(_contract(nodes, n, with_path, _level), f"forest{_level}")
     is_open = F.col("kind") == OPEN
     closed = local.filter(~is_open).select(
         "key",
@@ -154,7 +169,7 @@ def resolve_forest(nodes: DataFrame, with_path: bool = False, _level: int = 0) -
         F.when(F.col("kind") == ROOT, F.col("trail")).otherwise(F.array("key")).alias("path") if with_path else F.lit(None).cast("array<string>").alias("path"),
     )
     opened = local.filter(is_open)
-    exits = materialise(opened.filter(F.col("key") == F.col("fragment")).select("fragment", "exit"), f"exits{_level}")
+    exits = materialise(opened.filter(F.col("key") == F.col("fragment")).select("fragment", "exit", "weight"), f"exits{_level}")
     # where each exit leads: its own fragment, the distance to that fragment's root, and what kind it is
     # (the few exits are sent to the nodes where their size allows, so the nodes are not shuffled)
     targets = local.select(F.col("key").alias("exit"), F.col("fragment").alias("to"), F.col("hops").alias("to_hops"), F.col("kind").alias("to_kind"), F.col("trail").alias("to_trail"), F.col("least").alias("to_least"))
@@ -177,106 +192,54 @@ def resolve_forest(nodes: DataFrame, with_path: bool = False, _level: int = 0) -
     if not on_cycle.isEmpty():
         # on these fragments, the keys on the cycle are those between an entry point and the fragment's root
         entries = quotient.join(on_cycle, "fragment", "left_semi").select(F.col("exit").alias("key"), F.lit(True).alias("entry")).distinct()
-        rows = opened.join(on_cycle, "fragment").join(entries, "key", "left")
-        marked = rows.repartition("fragment").select("key", "parent", F.coalesce("entry", F.lit(False)).alias("entry"), "root").mapInArrow(_mark_cycle, "key string, root string, on_cycle boolean")
+        rows = opened.join(on_cycle, "fragment").join(entries, "key", "left").select("fragment", "key", "parent", F.coalesce("entry", F.lit(False)).alias("entry"), "root")
+        rows = materialise(rows, f"caught{_level}")
+        marked = rows.repartition(_parts(rows.sparkSession, rows.count()), "fragment").select("key", "parent", "entry", "root").mapInArrow(_mark_cycle, "key string, root string, on_cycle boolean")
         caught = marked.select("key", "root", F.when(F.col("on_cycle"), -1).otherwise(-2).cast("long").alias("depth"), F.lit(False).alias("dangling"), (F.array("key") if with_path else no_path).alias("path"))
     out = closed.unionByName(through)
     return out.unionByName(caught) if caught is not None else out
 
 
 def _solve_quotient(quotient: DataFrame, n: int, with_path: bool, level: int) -> DataFrame:
-    """Solve the forest of open fragments.
+    """Solve the forest of open fragments by the same procedure.
 
-    Result per fragment: root, depth of the fragment's root (-1: on a cycle of fragments, -2: below one), dangling,
-    path above the fragment's root, below_local (hangs below a cycle that lies within one partition).
+    Result per fragment: root, depth of the fragment's root (-1: on a cycle of fragments, -2: below a cycle), dangling,
+    path above the fragment's root.
     """
-    none = F.lit(None).cast("array<string>")
     # fragments whose exit is missing or leads into a closed fragment are roots of the quotient
+    parent = F.when(F.col("to_kind") == OPEN, F.col("to"))
+    coin = F.pmod(F.xxhash64("fragment", F.lit(level)), F.lit(2)) == 1
+    meet = F.xxhash64(F.when(coin, F.coalesce(parent, F.col("fragment"))).otherwise(F.col("fragment")), F.lit(level))
     nodes = quotient.select(
         F.col("fragment").alias("key"),
-        F.when(F.col("to_kind") == OPEN, F.col("to")).alias("parent"),
-        (F.coalesce("to_hops", F.lit(0)) + 1).alias("weight"),
-        F.pmod(F.xxhash64("fragment"), F.lit(max(1, n // SINGLE_TASK_NODES))).alias("bucket"),
+        parent.alias("parent"),
+        (F.coalesce("to_hops", F.lit(0)) + F.col("weight")).alias("weight"),
+        F.coalesce("to_least", "fragment").alias("low"),
+        meet.alias("bucket"),
     )
-    if n <= SINGLE_TASK_NODES:
-        got = materialise(_contract(nodes, False, single=True), f"solved{level}").select("key", F.col("fragment").alias("top"), F.col("hops").alias("q_depth"))
-    else:
-        got = _by_doubling(nodes, n, level)
+    got = resolve_forest(nodes, with_path, level + 1).select(F.col("key").alias("fragment"), F.col("root").alias("top"), F.col("depth").alias("q_depth"), F.col("path").alias("q_path"))
     tops = quotient.select(
         F.col("fragment").alias("top"),
-        F.col("to_kind"),
+        F.col("to_kind").isNull().alias("top_dangling"),
         F.when(F.col("to_kind").isNull(), F.col("fragment")).otherwise(F.col("to")).alias("top_root"),
-        F.when(F.col("to_kind").isNull(), F.lit(0)).when(F.col("to_kind") == ROOT, F.col("to_hops") + 1).otherwise(F.lit(-2)).alias("top_depth"),
-    )
-    out = (
-        got.join(tops, "top", "left")
-        .select(
-            F.col("key").alias("fragment"),
-            "top",
-            F.when(F.col("q_depth") < 0, F.col("q_depth")).when(F.col("top_depth") < 0, F.lit(-2)).otherwise(F.col("top_depth") + F.col("q_depth")).cast("long").alias("depth"),
-            F.when(F.col("q_depth") >= 0, F.col("top_root")).alias("root"),
-            F.when(F.col("q_depth") >= 0, F.col("to_kind").isNull()).otherwise(F.lit(False)).alias("dangling"),
-            ((F.col("q_depth") >= 0) & (F.coalesce("top_depth", F.lit(0)) < 0)).alias("below_local"),
-        )
+        F.when(F.col("to_kind").isNull(), F.lit(0)).when(F.col("to_kind") == ROOT, F.col("to_hops") + F.col("weight")).otherwise(F.lit(-2)).alias("top_depth"),
     )
-    # the smallest key of each cycle across fragments, over the keys between each entry and its fragment's root
-    on = out.filter("depth = -1").select("fragment", "top")
-    lows = on.join(quotient.select("fragment", "to_least"), "fragment").groupBy("top").agg(F.min("to_least").alias("least_on_cycle"))
-    out = out.join(lows, "top", "left").withColumn("root", F.coalesce("root", "least_on_cycle"))
-    if with_path:
-        out = out.join(_quotient_paths(quotient, out, level), "fragment", "left")
-    else:
-        out = out.withColumn("path", none)
-    return materialise(out, f"answer{level}")
-
-
-def _by_doubling(nodes: DataFrame, n: int, level: int) -> DataFrame:
-    """Pointer doubling for a quotient too large for one task: each round joins the links with themselves."""
-    links = materialise(nodes.select("key", F.col("parent"), F.when(F.col("parent").isNull(), 0).otherwise(F.col("weight")).cast("long").alias("hops"), F.least("key", F.coalesce("parent", "key")).alias("low")), f"links{level}")
-    for r in range(int(n).bit_length() + 1):
-        up = links.select(F.col("key").alias("parent"), F.col("parent").alias("next"), F.col("hops").alias("more"), F.col("low").alias("low2"))
-        links = materialise(
-            links.join(up, "parent", "left").select(
-                "key",
-                F.when(F.col("next").isNotNull(), F.col("next")).otherwise(F.col("parent")).alias("parent"),
-                (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-                F.least("low", F.coalesce("low2", "low")).alias("low"),
-            ),
-            f"links{level}-{r}",
-        )
-        if r > 1 and links.join(nodes.filter("parent is null").select(F.col("key").alias("parent")), "parent", "left_anti").filter("parent is not null").isEmpty():
-            break
-    roots = nodes.filter("parent is null").select(F.col("key").alias("parent"), F.lit(True).alias("ends"))
-    done = links.join(roots, "parent", "left")
-    # after this many rounds a pointer that does not end at a root is on its cycle, and all of that cycle has been walked
-    # from there: `low` of the pointer's end is the cycle's smallest key, while one's own takes in the keys before it
-    ends_at = done.filter("parent is not null and ends is null").select("parent").distinct()
-    lows = materialise(links.join(ends_at.select(F.col("parent").alias("key")), "key", "left_semi").select("key", F.col("low").alias("cycle_low")), f"lows{level}")
-    on_cycle = lows.select("key", F.lit(True).alias("on_cycle"))
-    return materialise(
-        done.join(on_cycle, "key", "left").join(lows.select(F.col("key").alias("parent"), "cycle_low"), "parent", "left").select(
-            "key",
-            F.when(F.col("parent").isNull(), F.col("key")).when(F.col("ends"), F.col("parent")).otherwise(F.col("cycle_low")).alias("top"),
-            F.when(F.col("parent").isNull() | F.col("ends"), F.col("hops")).when(F.col("on_cycle"), -1).otherwise(-2).cast("long").alias("q_depth"),
-        ),
-        f"doubled{level}",
+    caught = F.col("q_depth") < 0
+    out = got.join(tops, "top", "left").select(
+        "fragment",
+        F.when(caught, F.col("q_depth")).when(F.col("top_depth") < 0, F.lit(-2)).otherwise(F.col("top_depth") + F.col("q_depth")).cast("long").alias("depth"),
+        F.when(caught, F.col("top")).otherwise(F.col("top_root")).alias("root"),
+        (~caught & F.coalesce("top_dangling", F.lit(False))).alias("dangling"),
+        "q_path",
     )
-
-
-def _quotient_paths(quotient: DataFrame, solved: DataFrame, level: int) -> DataFrame:
-    """The path above each fragment's root, by one join a level of fragments (few: a level is a change of partition)."""
-    sound = solved.filter("depth >= 0").select("fragment")
-    todo = quotient.join(sound, "fragment", "left_semi").select("fragment", "to", "to_kind", F.coalesce("to_trail", F.array().cast("array<string>")).alias("trail"))
-    todo = materialise(todo, f"paths{level}")
-    known = todo.filter(F.coalesce("to_kind", F.lit(ROOT)) != OPEN).select("fragment", F.col("trail").alias("path"))
-    done = known = materialise(known, f"paths{level}-0")
-    rest, r = todo.filter(F.col("to_kind") == OPEN), 0
-    while True:
-        r += 1
-        known = materialise(rest.join(known.select(F.col("fragment").alias("to"), "path"), "to").select("fragment", F.concat("path", "trail").alias("path")), f"paths{level}-{r}")
-        if known.isEmpty():
-            return done
-        done = done.unionByName(known)
+    if not with_path:
+        return materialise(out.withColumn("path", F.lit(None).cast("array<string>")).drop("q_path"), f"answer{level}")
+    out = materialise(out, f"answer{level}")
+    # each fragment on the way adds the keys from its target's fragment root down to its exit
+    steps = out.filter("depth >= 0").select("fragment", F.posexplode("q_path").alias("at", "step"))
+    trails = quotient.select(F.col("fragment").alias("step"), F.coalesce("to_trail", F.array().cast("array<string>")).alias("trail"))
+    paths = steps.join(trails, "step").groupBy("fragment").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "trail"))), lambda x: x["trail"])).alias("path"))
+    return materialise(out.drop("q_path").join(paths, "fragment", "left"), f"answer{level}p")
 
 
 def locality_buckets(rows: DataFrame, key: str, group: str, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from tessera.runtime import key_of, materialise, read_table
 def session_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct log lines with their parent and a locality bucket (their session)."""
     raw = read_table(spark, sf_dir, "sample_session").select(key_of("uuid").alias("uuid"), key_of("parentUuid").alias("parent"), key_of("sessionId").alias("grp"), "ingested_at")
-    return locality_buckets(link_rows(raw, "uuid", "parent", "grp", "ingested_at"), "key", "grp")
+    return locality_buckets(materialise(link_rows(raw, "uuid", "parent", "grp", "ingested_at"), "links"), "key", "grp")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

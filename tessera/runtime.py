@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,9 +55,14 @@ def key_of(column: Column | str) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset, a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir; only where it is unset on one machine, a new local one.
+
+    On a cluster without that setting executors would each write to a disk of their own, so it is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-work-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir() or d

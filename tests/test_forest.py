@@ -32,9 +32,9 @@ def forest_rows(n, seed):
     return parents
 
 
-@pytest.mark.parametrize("seed,buckets,bound", [(1, 1, 200000), (2, 7, 200000), (3, 40, 200000), (4, 60, 3)])
+@pytest.mark.parametrize("seed,buckets,bound", [(1, 1, 200000), (2, 7, 200000), (3, 40, 200000), (4, 60, 12)])
 def test_matches_brute_force(spark, monkeypatch, seed, buckets, bound):
-    monkeypatch.setattr(forest, "SINGLE_TASK_NODES", bound)
+    monkeypatch.setattr(forest, "NODES_PER_TASK", bound)
     parents = forest_rows(400, seed)
     r = random.Random(seed)
     rows = [(k, p, r.randrange(buckets)) for k, p in parents.items()]
@@ -59,7 +59,7 @@ def test_empty_and_self_parent(spark):
 
 
 def test_cycle_across_partitions_with_smaller_keys_below(spark, monkeypatch):
-    monkeypatch.setattr(forest, "SINGLE_TASK_NODES", 3)
+    monkeypatch.setattr(forest, "NODES_PER_TASK", 3)
     parents = {f"m{i:02d}": f"m{(i + 1) % 20:02d}" for i in range(20)}
     parents |= {f"a{i:02d}": f"a{i + 1:02d}" for i in range(19)} | {"a19": "m05", "z1": "a00", "r": None, "c1": "r", "c2": "c1"}
     rows = [(k, p, i) for i, (k, p) in enumerate(parents.items())]
