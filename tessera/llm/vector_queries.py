@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.grouping import describe_groups, similarity_groups
+from tessera.llm.grouping import describe_groups, grid_clusters, similarity_groups
 from tessera.llm.vectors import nearest
 from tessera.runtime import key_of, materialise, read_table
 
@@ -25,6 +25,11 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_groups(p4_members(spark, sf_dir))
 
 
+def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of the plain grid method, by adjacency of dense cells alone."""
+    return grid_clusters(read_table(spark, sf_dir, "vectors"))
+
+
 def p4_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored clusters held against the groups: per cluster its assigned chunks, those in the group that holds most of
     them, the mean stored distance of both, and how many stored exemplars lie in that group. Distances that are null or
@@ -54,7 +59,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p4_stored": p4_stored, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p4_found": p4_found, "p4_grid": p4_grid, "p4_groups": p4_groups, "p4_stored": p4_stored, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 
 _USABLE = r"""k AS (SELECT nullif(lower(trim(id, E' \t\n\r')), '') AS id, nullif(lower(trim(model_id, E' \t\n\r')), '') AS model, embedding FROM vectors),
 n AS (SELECT model, len(embedding) AS n, count(*) AS c FROM k WHERE model IS NOT NULL AND id IS NOT NULL AND embedding IS NOT NULL GROUP BY ALL),

@@ -1,41 +1,50 @@
 """An inverted multi-index over vectors: the most similar vectors of every vector, and links above a similarity.
 
 Method: vectors are scaled to unit length and cut into two halves, each quantised by a codebook of its own; a cell is a
-pair of codewords. A query visits every cell that can hold a vector of the least cosine asked for: by the triangle
-inequality, from its distance to both codewords and the span of the cell's distances to them. No number of entries ends
-the search, so nothing is lost; where the bound rules nothing out, all pairs are compared. Of two cells one visits the
-other, and both sides of a pair learn of it. Cosines are exact. (A caller may ask for a shorter, approximate search that
-traverses the cells by summed distance, with a heap, until they hold `enough` entries.)
-
-Cells with the same first codeword form a row. A query travels once to each row it visits, with the list of cells
-there. Rows are cut into blocks of bounded size on both sides, so no cell, however full, is one task's work. Equal
-vectors are searched once, as a class with its smallest ids. Codebooks are fitted on a bounded sample per model;
-every vector is indexed.
+pair of codewords. A query takes the cells in the order of summed distance, from a priority queue over the rows of cells
+(the next cell of each first codeword), and compares itself with their entries by exact cosine.
+
+How far a query goes depends on what it finds, not on a cap. It first visits cells that hold `first` entries, then goes
+on to twice as many. If the second half gave nothing that belongs to its result, it is settled; otherwise it is compared
+with every entry of its model. So the work of most queries does not grow with the collection, while queries in a large
+group of similar vectors, or without any near neighbour, are answered exactly. What may be lost is a neighbour beyond
+the cells of both visits of a query that looked settled; `first=None` compares everything with everything.
+
+Cells are put into blocks of bounded size, and so are the queries that come to a block, by their real number; a cell
+that alone exceeds a block is cut by the hash of the id. An entry is copied once for each part of the queries of its
+block, of which there are few whatever the size of the collection, and a query once for each block that it visits. Equal
+vectors are searched once, as a class with its smallest ids. Codebooks are fitted on a bounded sample per model; every
+vector is indexed.
 """
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.deliveries import first_deliveries, with_row_identity
 from tessera.runtime import broadcast_if_small, key_of, materialise
 
-#: Vectors per model that the codebooks are fitted on at most, entries per cell aimed at, and codewords at most.
-SAMPLE, PER_CELL, MOST_WORDS = 20_000, 200, 256
+#: Vectors per model that the codebooks are fitted on at most, entries per cell aimed at, and codewords at most (with more
+#: than about ten million vectors of a model cells grow instead).
+SAMPLE, PER_CELL, MOST_WORDS = 40_000, 12, 1024
+#: Entries that the first visit of a query covers at least.
+FIRST = 2048
 #: Entries, and queries, of one task at most (on average of a random split).
-BLOCK = 15_000
+BLOCK, PART = 32_000, 64_000
 DIGITS = 6
 #: Added to bounds, above the errors of floating point and of rounding to DIGITS.
 SLACK = 2e-6
 #: Bits for the place of an id within a block, which must hold fewer than LAST rows.
 PLACE_BITS = 24
 LAST = (1 << PLACE_BITS) - 1
+#: Queries whose cells are taken from the queue at a time.
+AT_ONCE = 2048
 
 
 def usable_vectors(scan: DataFrame) -> DataFrame:
@@ -100,50 +109,63 @@ def fit_codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.n
 
 @dataclass
 class Codebooks:
-    """The two codebooks of one model and, once counted, the entries of each cell."""
+    """The two codebooks of one model and, once counted, the entries of each cell and the blocks of cells."""
 
     dim: int
     first: np.ndarray
     second: np.ndarray
     counts: np.ndarray | None = None
-    #: The largest and the smallest distance of each cell's entries to its first and to its second codeword.
-    far: np.ndarray | None = None
-    near: np.ndarray | None = None
+    #: The block of each cell (numbered first word * words + second word), and per block into how many parts it is cut.
+    block: np.ndarray | None = None
+    parts: list[int] = field(default_factory=list)
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.dim // 2
         return _distances(x[:, :h], self.first), _distances(x[:, h:], self.second)
 
-    def traverse(self, d1: np.ndarray, d2: np.ndarray, enough: int) -> list[tuple[int, int]]:
-        """The cells in the order of summed distance, by a heap over the two sorted lists, until they hold `enough`."""
-        o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-        s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-        a, b = o1.tolist(), o2.tolist()
-        heap, out, have = [(s1[0] + s2[0], 0, 0)], [], 0
-        while heap and have < enough:
-            _, i, j = heapq.heappop(heap)
-            n = self.counts[a[i], b[j]]
-            if n:
-                out.append((a[i], b[j]))
-                have += n
-            # each pair is pushed once: from its left neighbour, or from above in the first column
-            if j + 1 < len(b):
-                heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
-            if j == 0 and i + 1 < len(a):
-                heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
-        return out
-
-    def reachable(self, d1: np.ndarray, d2: np.ndarray, own: tuple[int, int], least: float) -> list[tuple[int, int]]:
-        """The cells that can hold a vector with a cosine of `least` to the query, of those whose turn is not to visit `own`.
-
-        Cells are numbered round a circle and visit the half that follows, so of any two at least one visits the other.
+    def make_blocks(self, size: int) -> None:
+        """Put successive cells into blocks of at most `size` entries; a larger cell is a block of its own, cut into parts."""
+        counts = self.counts.ravel()
+        self.block, self.parts, held = np.zeros(len(counts), np.int32), [], size + 1
+        for c in np.flatnonzero(counts):
+            n = int(counts[c])
+            if held + n > size:
+                self.parts.append(max(1, -(-n // size)))
+                held = 0
+            held += n
+            self.block[c] = len(self.parts) - 1
+
+    def traverse(self, d1: np.ndarray, d2: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, cell, entries taken before it) of the filled cells that each query takes, in the order of summed
+        distance, until they hold `enough`.
+
+        The priority queue of a query holds the next cell of every row (first codeword), rows being sorted lists by second
+        codeword; the queues of all queries are advanced together.
         """
-        a, b = np.sqrt(np.maximum(d1, 0))[:, None], np.sqrt(np.maximum(d2, 0))[None, :]
-        low = sum(np.maximum(0, np.maximum(d - self.far[h], self.near[h] - d) - SLACK) ** 2 for h, d in enumerate((a, b)))
-        n = self.counts.size
-        ahead = (np.arange(n).reshape(self.counts.shape) - (own[0] * self.counts.shape[1] + own[1])) % n
-        x, y = np.nonzero((self.counts > 0) & (ahead <= n // 2) & (low <= 2 - 2 * least + SLACK))
-        return list(zip(x.tolist(), y.tolist()))
+        n, counts, words = len(d1), self.counts.ravel(), d2.shape[1]
+        order = np.argsort(d2, axis=1, kind="stable")
+        rising = np.concatenate([np.take_along_axis(d2, order, 1), np.full((n, 1), np.inf)], axis=1)
+        queue, at = d1 + rising[:, :1], np.zeros(d1.shape, np.int64)
+        who, have = np.arange(n), np.zeros(n, np.int64)
+        out: list[tuple] = []
+        while len(who):
+            k = np.arange(len(who))
+            row = queue.argmin(1)
+            going = np.isfinite(queue[k, row]) & (have < enough)
+            if going.sum() < 0.7 * len(who):  # those that have enough leave
+                d1, order, rising, queue, at, who, have = (x[going] for x in (d1, order, rising, queue, at, who, have))
+                continue
+            j = at[k, row]
+            cell = row * words + order[k, np.minimum(j, words - 1)]
+            size = np.where(going, counts[cell], 0)
+            full = size > 0
+            out.append((who[full], cell[full], have[full]))
+            have += size
+            at[k, row] = j + going
+            queue[k, row] = np.where(going, d1[k, row] + rising[k, np.minimum(j + 1, words)], np.inf)
+            if not going.any():
+                break
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def fit(entries: DataFrame, sample: int = SAMPLE, per_cell: int = PER_CELL) -> dict[str, Codebooks]:
@@ -163,78 +185,86 @@ def fit(entries: DataFrame, sample: int = SAMPLE, per_cell: int = PER_CELL) -> d
     return out
 
 
-def index(entries: DataFrame, books: dict[str, Codebooks]) -> tuple[DataFrame, dict[str, Codebooks]]:
-    """Entries with their cell (c1, c2) and distances to its codewords, written once; the books with the counts and spans
-    of their cells (at most words squared)."""
+def index(entries: DataFrame, books: dict[str, Codebooks], block: int = BLOCK) -> tuple[DataFrame, dict[str, Codebooks]]:
+    """Entries with their cell (c1, c2), written once; the books with the counts and blocks of their cells (at most words
+    squared)."""
     shared = entries.sparkSession.sparkContext.broadcast(books)
 
     def assign(frames):
         for f in frames:
             c1, c2 = np.zeros(len(f), np.int32), np.zeros(len(f), np.int32)
-            s1, s2 = np.zeros(len(f)), np.zeros(len(f))
             for model, at in f.groupby("model", sort=False).indices.items():
                 book = shared.value[model]
                 d1, d2 = book.halves(_unit([f["v"].iat[i] for i in at], book.dim))
                 c1[at], c2[at] = d1.argmin(1), d2.argmin(1)
-                s1[at], s2[at] = np.sqrt(np.maximum(d1.min(1), 0)), np.sqrt(np.maximum(d2.min(1), 0))
-            yield pd.DataFrame({"model": f["model"], "rep": f["rep"], "ids": f["ids"], "v": f["v"], "c1": c1, "c2": c2, "s1": s1, "s2": s2})
+            yield pd.DataFrame({"model": f["model"], "rep": f["rep"], "ids": f["ids"], "v": f["v"], "c1": c1, "c2": c2})
 
-    placed = materialise(entries.mapInPandas(assign, "model string, rep string, ids array<string>, v binary, c1 int, c2 int, s1 double, s2 double"), "index")
+    placed = materialise(entries.mapInPandas(assign, "model string, rep string, ids array<string>, v binary, c1 int, c2 int"), "index")
     for b in books.values():
         b.counts = np.zeros((len(b.first), len(b.second)), np.int64)
-        b.far, b.near = np.zeros((2, *b.counts.shape)), np.zeros((2, *b.counts.shape))
-    spans = [g(c).alias(f"{n}{c}") for n, g in (("far", F.max), ("near", F.min)) for c in ("s1", "s2")]
-    for r in placed.groupBy("model", "c1", "c2").agg(F.count("*").alias("n"), *spans).collect():
-        b = books[r.model]
-        b.counts[r.c1, r.c2] = r.n
-        b.far[:, r.c1, r.c2], b.near[:, r.c1, r.c2] = (r.fars1, r.fars2), (r.nears1, r.nears2)
+    for r in placed.groupBy("model", "c1", "c2").agg(F.count("*").alias("n")).collect():
+        books[r.model].counts[r.c1, r.c2] = r.n
+    for b in books.values():
+        b.make_blocks(block)
     return placed, books
 
 
-def visits(placed: DataFrame, books: dict[str, Codebooks], least: float, enough: int | None = None) -> DataFrame:
-    """Per query and row of cells the second codewords to look at there: model, rep, v, row, cells."""
-    shared = placed.sparkSession.sparkContext.broadcast(books)
+_VISITS = "array<struct<block: int, cells: array<int>>>"
 
-    def run(frames):
-        for f in frames:
-            model, rep, v, row, cells = [], [], [], [], []
-            for m, at in f.groupby("model", sort=False).indices.items():
+
+def visits(placed: DataFrame, books: dict[str, Codebooks], first: int) -> DataFrame:
+    """Per query (model, rep, v) what it visits `first` and `then`: blocks, each with the cells to look at there."""
+    shared = placed.sparkSession.sparkContext.broadcast(books)
+    item = pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))])
+
+    def nested(q, cell, block, n):
+        o = np.lexsort((cell, block, q))
+        q, cell, block = q[o], cell[o], block[o]
+        new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (block[1:] != block[:-1])]) if len(q) else np.zeros(0, np.int64)
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[new, len(q)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+        pairs = pa.StructArray.from_arrays([pa.array(block[new].astype(np.int32)), inner], fields=list(item))
+        ends = np.r_[0, np.cumsum(np.bincount(q[new], minlength=n))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+    def run(batches):
+        for b in batches:
+            models = np.array(b.column("model").to_pylist(), object)
+            for m in dict.fromkeys(models.tolist()):
+                at = np.flatnonzero(models == m)
                 book = shared.value[m]
-                raw = [f["v"].iat[i] for i in at]
-                d1, d2 = book.halves(_unit(raw, book.dim))
-                for k, i in enumerate(at):
-                    by: dict[int, list[int]] = {}
-                    own = int(f["c1"].iat[i]), int(f["c2"].iat[i])
-                    for a, b in book.reachable(d1[k], d2[k], own, least) if enough is None else book.traverse(d1[k], d2[k], enough):
-                        by.setdefault(a, []).append(b)
-                    for a, bs in by.items():
-                        model.append(m)
-                        rep.append(f["rep"].iat[i])
-                        v.append(raw[k])
-                        row.append(a)
-                        cells.append(bs)
-            yield pd.DataFrame({"model": model, "rep": rep, "v": v, "row": np.array(row, np.int32), "cells": cells})
-
-    return placed.select("model", "rep", "v", "c1", "c2").mapInPandas(run, "model string, rep string, v binary, row int, cells array<int>")
-
-
-def meet(placed: DataFrame, books: dict[str, Codebooks], least: float, kernel, schema: str, block: int = BLOCK, enough: int | None = None) -> DataFrame:
-    """Bring the queries of each row of cells together with its entries and run `kernel(queries, entries, dim)`.
-
-    Both sides are cut into blocks: rows of more than `block` entries by the hash of the id, with the queries repeated
-    for each block, and the same the other way round. Where a row's entries are cut, kernels see parts of it.
+                for lo in range(0, len(at), AT_ONCE):
+                    rows = b.take(pa.array(at[lo : lo + AT_ONCE]))
+                    d1, d2 = book.halves(_unit(rows.column("v").to_pylist(), book.dim))
+                    q, cell, before = book.traverse(d1, d2, 2 * first)
+                    early = before < first
+                    n = rows.num_rows
+                    cols = {c: rows.column(c) for c in ("model", "rep", "v")}
+                    yield pa.RecordBatch.from_pydict(cols | {"first": nested(q[early], cell[early], book.block[cell[early]], n), "then": nested(q[~early], cell[~early], book.block[cell[~early]], n)})
+
+    return materialise(placed.select("model", "rep", "v").mapInArrow(run, f"model string, rep string, v binary, first {_VISITS}, then {_VISITS}"), "visits")
+
+
+def meet(placed: DataFrame, books: dict[str, Codebooks], asked: DataFrame, kernel, schema: str, part: int = PART) -> DataFrame:
+    """Bring queries (model, rep, v, block, cells; null cells are all of the block) together with the entries of their
+    blocks and run `kernel(queries, entries, dim)`.
+
+    The queries of a block are cut into parts of at most `part` by their real number, the entries of a cut block into its
+    parts, both by the hash of the id; kernels then see parts of a block.
     """
     spark = placed.sparkSession
-    rows = {(m, i): int(n) for m, b in books.items() for i, n in enumerate(b.counts.sum(1))}
-    asked = visits(placed, books, least, enough)
-    # an upper bound on the queries of a row is all queries of its model; the blocks for it are fixed before the run
-    total = {m: int(b.counts.sum()) for m, b in books.items()}
-    plan = spark.createDataFrame([(m, i, max(1, -(-n // block)), max(1, -(-total[m] // block))) for (m, i), n in sorted(rows.items()) if n], "model string, row int, eb int, qb int")
-    plan = F.broadcast(plan)  # words rows a model
-    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    number = asked.groupBy("model", "block").agg(F.count("*").alias("n"))
+    cuts = spark.createDataFrame([(m, i, n) for m, b in books.items() for i, n in enumerate(b.parts)], "model string, block int, eb int")
+    plan = number.join(F.broadcast(cuts), ["model", "block"]).select("model", "block", "eb", F.ceil(F.col("n") / part).cast("int").alias("qb"))
+    plan = F.broadcast(materialise(plan, "plan"))  # a row a block
+    cells = [(m, int(c // b.counts.shape[1]), int(c % b.counts.shape[1]), int(b.block[c])) for m, b in books.items() for c in np.flatnonzero(b.counts.ravel())]
+    cells = spark.createDataFrame(pd.DataFrame(cells, columns=["model", "c1", "c2", "block"]), "model string, c1 int, c2 int, block int")
+    home = F.broadcast(cells)  # a row a cell: at most words squared
+    words = F.create_map(*[F.lit(x) for m, b in books.items() for x in (m, len(b.second))])[F.col("model")]
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = asked.join(plan, ["model", "row"]).select("model", "row", part("qb").alias("q"), every("eb").alias("e"), "rep", "v", "cells")
-    e = placed.withColumnRenamed("c1", "row").join(plan, ["model", "row"]).select("model", "row", part("eb").alias("e"), every("qb").alias("q"), "rep", "ids", "v", "c2")
+    q = asked.join(plan, ["model", "block"]).select("model", "block", spot("qb").alias("q"), every("eb").alias("e"), F.col("rep").alias("rep"), F.col("v").alias("v"), "cells")
+    q = q.toDF(*q.columns)
+    e = placed.join(home, ["model", "c1", "c2"]).join(plan, ["model", "block"]).select("model", "block", spot("eb").alias("e"), every("qb").alias("q"), "rep", "ids", "v", (F.col("c1") * words + F.col("c2")).alias("cell"))
     dims = {m: b.dim for m, b in books.items()}
     empty = kernel(None, None, 0)
 
@@ -245,16 +275,41 @@ def meet(placed: DataFrame, books: dict[str, Codebooks], least: float, kernel, s
         out.insert(0, "model", key[0])
         return out
 
-    keys = ["model", "row", "q", "e"]
+    keys = ["model", "block", "q", "e"]
     return q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(run, "model string, " + schema)
 
 
+def search(placed: DataFrame, books: dict[str, Codebooks], kernel, schema: str, unsettled, first: int | None = FIRST, part: int = PART) -> DataFrame:
+    """The kernel's rows over all visits: those of the first and second visit of every query, and of all blocks for the
+    queries (model, rep) that `unsettled(rows of the first visit, rows of the second)` names."""
+    blocks = F.create_map(*[F.lit(x) for m, b in books.items() for x in (m, len(b.parts))])[F.col("model")]
+    all_blocks = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    whole = lambda queries: meet(placed, books, queries.select("model", "rep", "v", all_blocks, F.lit(None).cast("array<int>").alias("cells")), kernel, schema, part)
+    if first is None or all(b.counts.sum() <= 2 * first for b in books.values()):
+        return materialise(whole(placed), "whole")
+    asked = visits(placed, books, first)
+    stage = lambda c: asked.select("model", "rep", "v", F.explode(c).alias("x")).select("model", "rep", "v", "x.block", "x.cells")
+    one = materialise(meet(placed, books, stage("first"), kernel, schema, part), "first")
+    two = materialise(meet(placed, books, stage("then"), kernel, schema, part), "then")
+    rest = materialise(unsettled(one, two).select("model", "rep").distinct(), "unsettled")
+    out = one.unionByName(two)
+    if rest.isEmpty():
+        return out
+    left = placed.join(broadcast_if_small(rest), ["model", "rep"], "left_semi")
+    return out.unionByName(materialise(whole(left), "rest"))
+
+
 def cell_products(queries: pd.DataFrame, entries: pd.DataFrame, dim: int, rows: int = 1024):
     """(query positions, entry positions, cosines) for each cell that the queries visit, a bounded number at a time."""
     x, y = _unit(queries["v"].tolist(), dim), _unit(entries["v"].tolist(), dim)
+    if queries["cells"].isna().all():
+        for lo in range(0, len(x), rows):
+            for el in range(0, len(y), 4096):
+                yield np.arange(lo, min(len(x), lo + rows)), np.arange(el, min(len(y), el + 4096)), x[lo : lo + rows] @ y[el : el + 4096].T
+        return
     n = np.array([len(c) for c in queries["cells"]])
     who, cell = np.repeat(np.arange(len(queries)), n), np.concatenate([np.asarray(c) for c in queries["cells"]])
-    by = entries.groupby("c2").indices
+    by = entries.groupby("cell").indices
     order = np.argsort(cell, kind="stable")
     who, cell = who[order], cell[order]
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -328,29 +383,37 @@ def nearest_kernel(keep: int, least: float):
     return run
 
 
-def nearest(scan: DataFrame, k: int = 5, least: float = -1.0, enough: int | None = None, per_cell: int = PER_CELL, block: int = BLOCK) -> DataFrame:
+def _leading(found: DataFrame, keep: int) -> DataFrame:
+    """The `keep` best rows of each (model, rep), with their rank `r`."""
+    w = Window.partitionBy("model", "rep").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep)
+
+
+def nearest(scan: DataFrame, k: int = 5, least: float = -1.0, first: int | None = FIRST, per_cell: int = PER_CELL, block: int = BLOCK, part: int = PART) -> DataFrame:
     """The k most similar vectors of every usable vector of the same model: model, id, rank, neighbour, cosine.
 
     Cosines are rounded to 6 decimals, ties go to the smaller id, a vector is not its own neighbour. Only neighbours of
     at least `least` are given. Vectors that are null, of another length, zero or not finite have no rows; repeated rows
-    count once; equal vectors under different ids are neighbours of each other. `enough` makes the search approximate:
-    it then ends at cells that hold so many entries.
+    count once; equal vectors under different ids are neighbours of each other. A query whose second visit changes its
+    list is compared with all vectors of its model; `first=None` does so for every query (exact).
     """
     keep = k + 1
     entries, copies = classes(materialise(usable_vectors(scan), "usable"), keep)
     entries = materialise(entries, "entries")
     if entries.isEmpty():
         return scan.sparkSession.createDataFrame([], "model string, id string, rank int, neighbour string, cosine double")
-    placed, books = index(entries, fit(entries, per_cell=per_cell))
-    found = materialise(meet(placed, books, least, nearest_kernel(keep, least), "rep string, id string, cosine double", block, enough), "found")
+    placed, books = index(entries, fit(entries, per_cell=per_cell), block)
+
+    def unsettled(one: DataFrame, two: DataFrame) -> DataFrame:
+        rows = one.withColumn("late", F.lit(0)).unionByName(two.withColumn("late", F.lit(1)))
+        rows = rows.groupBy("model", "rep", "id").agg(F.max("cosine").alias("cosine"), F.min("late").alias("late"))
+        return _leading(rows, keep).filter("late = 1")
+
+    found = search(placed, books, nearest_kernel(keep, least), "rep string, id string, cosine double", unsettled, first, part)
     # an entry that was visited knows its visitor's smallest id only; the class's other ids follow here
-    more = copies.select("model", F.col("rep").alias("id")).distinct()
-    wide = found.join(broadcast_if_small(materialise(more, "more"), 8 << 20), ["model", "id"], "left_semi")
     low = placed.filter(F.size("ids") > 1).select("model", F.col("rep").alias("id"), "ids")
-    wide = wide.join(low, ["model", "id"]).select("model", "rep", F.explode("ids").alias("id"), "cosine")
-    best = found.unionByName(wide).dropDuplicates(["model", "rep", "id"])
-    w = Window.partitionBy("model", "rep").orderBy(F.desc("cosine"), "id")
-    best = best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep)
+    wide = found.join(broadcast_if_small(materialise(low, "low"), 8 << 20), ["model", "id"]).select("model", "rep", F.explode("ids").alias("id"), "cosine")
+    best = _leading(found.unionByName(wide).dropDuplicates(["model", "rep", "id"]), keep)
     lists = materialise(best.groupBy("model", "rep").agg(F.sort_array(F.collect_list(F.struct("r", "id", "cosine"))).alias("list")), "lists")
     single = lists.join(copies.select("model", "rep").distinct(), ["model", "rep"], "left_anti").select("model", F.col("rep").alias("me"), "list")
     every = single.unionByName(lists.join(copies, ["model", "rep"]).select("model", F.col("id").alias("me"), "list"))
