@@ -36,13 +36,15 @@ SAMPLE, PER_CELL, MOST_WORDS = 40_000, 12, 1024
 #: Entries that the first visit of a query covers at least.
 FIRST = 2048
 #: Entries, and queries, of one task at most (on average of a random split).
-BLOCK, PART = 32_000, 64_000
+BLOCK, PART = 32_000, 24_000
 DIGITS = 6
 #: Added to bounds, above the errors of floating point and of rounding to DIGITS.
 SLACK = 2e-6
 #: Bits for the place of an id within a block, which must hold fewer than LAST rows.
-PLACE_BITS = 24
+PLACE_BITS = 20
 LAST = (1 << PLACE_BITS) - 1
+#: Hits that a kernel holds (8 bytes each) before it keeps the best of them only.
+MOST_HELD = 4_000_000
 #: Queries whose cells are taken from the queue at a time.
 AT_ONCE = 2048
 
@@ -324,11 +326,20 @@ def cell_products(queries: pd.DataFrame, entries: pd.DataFrame, dim: int, rows:
                 yield mine, some, x[mine] @ y[some].T
 
 
-def _best(found: pd.DataFrame, keep: int) -> pd.DataFrame:
-    """The `keep` best (cosine falling, then id) of each rep."""
-    found = found.sort_values(["rep", "cosine", "id"], ascending=[True, False, True], kind="stable")
-    found = found.drop_duplicates(["rep", "id"])
-    return found[found.groupby("rep", sort=False).cumcount() < keep]
+def _packed(row: np.ndarray, cosine: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """One number a hit that sorts by row, then falling cosine (in millionths), then place; no two are equal."""
+    return (row << (PLACE_BITS + 22)) | ((10**DIGITS - cosine) << PLACE_BITS) | place
+
+
+def _foremost(keys: np.ndarray, keep: int, least: np.ndarray) -> np.ndarray:
+    """The `keep` first hits of each row; `least` of rows that have so many rises to the last one's cosine."""
+    keys = np.sort(keys)
+    row = keys >> (PLACE_BITS + 22)
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    rank = np.arange(len(keys)) - np.repeat(start, np.diff(np.r_[start, len(keys)]))
+    last = rank == keep - 1
+    least[row[last]] = 10**DIGITS - (keys[last] >> PLACE_BITS & ((1 << 22) - 1))
+    return keys[rank < keep]
 
 
 def nearest_kernel(keep: int, least: float):
@@ -338,47 +349,53 @@ def nearest_kernel(keep: int, least: float):
         if queries is None:
             return pd.DataFrame({"model": [], "rep": [], "id": [], "cosine": []})
         qr, er, ids = queries["rep"].to_numpy(object), entries["rep"].to_numpy(object), entries["ids"].to_numpy(object)
-        size = np.array([len(i) for i in ids])
-        # cosines as whole numbers over the place in id order: no two are equal, so exactly `keep` are taken however
-        # many ties there are
-        q_place, e_place = LAST - np.argsort(np.argsort(qr)), LAST - np.argsort(np.argsort(er))
-        # cosines that `keep` others of one product reach already; smaller ones cannot be among the best
-        q_least, e_least = np.full(len(qr), least), np.full(len(er), least)
-        parts = []
+        if max(len(qr), len(er)) > LAST:
+            raise ValueError("a block holds more rows than its places can number")
+        q_order, e_order = np.argsort(qr), np.argsort(er)
+        q_place, e_place = np.argsort(q_order), np.argsort(e_order)
+        # cosines below these cannot be among the best
+        low = int(np.ceil(least * 10**DIGITS - 1e-6))
+        q_least, e_least = np.full(len(qr), low), np.full(len(er), low)
+        sides = {True: [], False: []}
+        held = 0
+
+        def prune():
+            for forward, bound in ((True, q_least), (False, e_least)):
+                if sides[forward]:
+                    sides[forward] = [_foremost(np.concatenate(sides[forward]), keep, bound)]
+
         for mine, some, c in cell_products(queries, entries, dim):
-            if least > -1:
-                x, y = np.nonzero(c >= least - SLACK)
-                if not len(x):
-                    continue
-                if len(x) * 20 <= c.size:  # few: taken as they are, without a choice per row
-                    cosine = np.rint(c[x, y] * 10**DIGITS) / 10**DIGITS
-                    for forward, low in ((True, q_least[mine[x]]), (False, e_least[some[y]])):
-                        ok = cosine >= low
-                        parts.append((mine[x[ok]], some[y[ok]], cosine[ok], forward))
-                    continue
-            c = np.rint(c * 10**DIGITS).astype(np.int64) << PLACE_BITS
-            for forward, key in ((True, c + e_place[some]), (False, (c + q_place[mine][:, None]).T)):
-                k = min(keep, key.shape[1])
-                at = np.argpartition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k :]
-                cosine = (np.take_along_axis(key, at, 1) >> PLACE_BITS) / 10**DIGITS
-                low, rows = (q_least, mine) if forward else (e_least, some)
-                if k == keep:
-                    low[rows] = np.maximum(low[rows], cosine.min(1))
-                x, y = np.nonzero(cosine >= low[rows][:, None])
-                other = at[x, y]
-                parts.append((mine[x], some[other], cosine[x, y], True) if forward else (mine[other], some[x], cosine[x, y], False))
-        frames = []
-        for a, b, c, forward in parts:
-            if forward:
-                n = size[b]
-                frames.append(pd.DataFrame({"rep": np.repeat(qr[a], n), "id": np.concatenate([ids[i] for i in b]) if len(b) else [], "cosine": np.repeat(c, n)}))
-            else:
-                frames.append(pd.DataFrame({"rep": er[b], "id": qr[a], "cosine": c}))
-            if len(frames) > 40:
-                frames = [_best(pd.concat(frames, ignore_index=True), keep)]
-        if not frames:
-            return pd.DataFrame({"rep": [], "id": [], "cosine": []})
-        return _best(pd.concat(frames, ignore_index=True), keep)
+            floor = min(q_least[mine].min(), e_least[some].min()) / 10**DIGITS - SLACK
+            x, y = np.nonzero(c >= floor)
+            if not len(x):
+                continue
+            cosine = np.rint(c[x, y] * 10**DIGITS).astype(np.int64)
+            q, e = mine[x], some[y]
+            ok = cosine >= q_least[q]
+            sides[True].append(_packed(q[ok], cosine[ok], e_place[e[ok]]))
+            back = cosine >= e_least[e]
+            sides[False].append(_packed(e[back], cosine[back], q_place[q[back]]))
+            held += int(ok.sum() + back.sum())
+            if held > MOST_HELD:
+                prune()
+                held = 0
+        prune()
+        parts = []
+        for forward, found in sides.items():
+            if not found:
+                continue
+            keys = found[0]
+            row, cosine, place = keys >> (PLACE_BITS + 22), (10**DIGITS - (keys >> PLACE_BITS & ((1 << 22) - 1))) / 10**DIGITS, keys & LAST
+            if not forward:
+                parts.append(pd.DataFrame({"rep": er[row], "id": qr[q_order[place]], "cosine": cosine}))
+                continue
+            other = e_order[place]
+            n = np.array([len(i) for i in ids])[other]
+            one = n == 1
+            parts.append(pd.DataFrame({"rep": qr[row[one]], "id": er[other[one]], "cosine": cosine[one]}))
+            if not one.all():
+                parts.append(pd.DataFrame({"rep": np.repeat(qr[row[~one]], n[~one]), "id": np.concatenate([ids[i] for i in other[~one]]), "cosine": np.repeat(cosine[~one], n[~one])}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"rep": [], "id": [], "cosine": []})
 
     return run
 
