@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.leakage import leaked_passages
+from tessera.llm.leakage import SAME, leaked_passages
 from tessera.runtime import read_table
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the items that leaked into it, and how much of each."""
+    """Each document with the items that leaked into it, in order or not, and how much of each."""
     return leaked_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+    """The leaks of which a window of successive words is nearly equal in place."""
+    return p9_leaks(spark, sf_dir).filter(F.col("best_window") >= SAME).select("doc_id", "item_id").distinct()
 
 
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
