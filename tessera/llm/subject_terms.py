@@ -58,6 +58,23 @@ TERMS = {
 }
 
 
+#: Further terms of each field, from general knowledge of it.
+GENERAL = {
+    "databases": "b-tree, inverted index, query optimiser, query optimizer, two-phase commit, primary key, unique constraint, materialised view, materialized view, relational algebra, normal form, snapshot isolation, log sequence number, hash join, merge join, sql statement, tablespace, rowstore, column store",
+    "web_frontend": "web component, css selector, flexbox, service worker, virtual dom, single-page application, responsive layout, web font, progress spinner, navigation bar, hover state, aria attribute, client-side routing, breadcrumb trail, carousel, favicon, keyframe animation",
+    "networking": "ip address, mac address, tcp connection, udp datagram, border gateway protocol, network interface, default gateway, packet loss, network topology, vlan, ethernet frame, dns resolver, reverse proxy, network switch, traffic shaping, quality of service, autonomous system",
+    "machine_learning": "neural network, gradient descent, backpropagation, random forest, support vector machine, overfitting, regularisation, regularization, transformer model, language model, feature vector, training set, test set, cross-entropy, decision tree, k-means, reinforcement learning, batch normalisation, batch normalization",
+    "build_tooling": "continuous integration, makefile, build script, build system, package manager, semantic versioning, static linking, dynamic linking, cross-compilation, object file, source map, dependency resolution, docker image, release branch, build server, toolchain, code generator",
+    "security": "cross-site scripting, sql injection, buffer overflow, penetration test, zero-day, public key, private key, digital signature, brute-force attack, man-in-the-middle attack, malware, ransomware, intrusion detection, least privilege, two-factor authentication, access control list, security patch",
+    "law": "supreme court, court of appeal, civil law, criminal law, common law, prosecutor, defence counsel, defense counsel, litigation, subpoena, tort, breach of contract, power of attorney, intellectual property, copyright infringement, due process, constitutional right, custody hearing, legal counsel, statute of limitations",
+    "sport": "world cup, olympic games, world record, football club, basketball court, tennis match, championship game, head coach, offside, quarterfinal, semifinal, swimming pool, track and field, personal best, goal difference, extra time, hat-trick, batting average, grand slam, marathon runner",
+    "astronomy": "black hole, supernova, white dwarf, neutron star, exoplanet, solar system, milky way, dark matter, asteroid belt, radio telescope, event horizon, light year, celestial sphere, constellation, cosmic microwave background, lunar crater, solar flare, hubble constant, right ascension, declination",
+    "finance": "stock market, mutual fund, hedge fund, income statement, capital gain, central bank, mortgage rate, credit rating, derivative contract, call option, put option, return on equity, price-earnings ratio, venture capital, treasury bill, equity stake, working capital, foreign exchange, accounts payable, accounts receivable",
+    "medicine": "clinical trial, blood pressure, chronic disease, antibiotic, chemotherapy, intensive care, physical therapy, surgeon, radiology, cardiology, immune system, insulin dose, medical history, heart attack, stroke patient, vaccine dose, mri scan, ct scan, general anaesthesia, general anesthesia, outpatient clinic",
+    "cooking": "olive oil, baking powder, baking soda, frying pan, cutting board, tomato sauce, whipped cream, sourdough, bread flour, puff pastry, pinch of salt, medium heat, slow cooker, rolling pin, minced garlic, chicken stock, food processor, egg white, egg yolk, preheated oven",
+}
+
+
 #: Words that are no evidence alone, but tell which subject a term of several subjects stands for.
 CLUES = {
     "databases": "reindex, commit, backfill, replicate, normalise, roll back, vacuum",
@@ -78,9 +95,12 @@ CLUES = {
 def weights(terms: dict[str, str] | None = None, clues: dict[str, str] | None = None) -> dict[str, dict[str, float]]:
     """Per term (single spaces, no hyphens or apostrophes) its subjects with weight 1 / number of subjects; clues that
     are no terms have weight 0."""
+    if terms is None:
+        terms = {s: f"{listed}, {GENERAL[s]}" for s, listed in TERMS.items()}
+        clues = CLUES if clues is None else clues
     by_term: dict[str, set[str]] = {}
     by_clue: dict[str, set[str]] = {}
-    for into, source in ((by_term, TERMS if terms is None else terms), (by_clue, (CLUES if terms is None else {}) if clues is None else clues)):
+    for into, source in ((by_term, terms), (by_clue, clues or {})):
         for subject, listed in source.items():
             for t in listed.split(","):
                 t = " ".join(t.replace("-", " ").replace("'", " ").split()).lower()

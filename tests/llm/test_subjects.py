@@ -1,5 +1,8 @@
+import numpy as np
+
 from tessera.llm.subject_terms import CLUES, TERMS, weights
-from tessera.llm.subjects import Terms, document_subjects, paragraphs, scores
+
+from tessera.llm.subjects import Terms, calibrate, document_subjects, paragraphs, rarity_of, scores
 
 
 def test_terms():
@@ -11,6 +14,8 @@ def test_terms():
 def test_paragraphs():
     t = "# Title\n\n- one item\n- two\r\n\r\n[User]\nhello there\n\n```ts\nindex cursor\n```\n\n[Assistant]\nbye"
     assert paragraphs(t) == ["one item", "two", "hello there", "bye"]
+    assert paragraphs("one\n\n```js\ncode\n```\nafter it\n\n```\nno partner\n\nlast") == ["one", "after it", "```\nno partner", "last"]
+    assert paragraphs("a ``` b\n\nc") == ["a ``` b", "c"]
     assert paragraphs("") == [] and paragraphs(" \n\n ") == []
 
 
@@ -41,3 +46,15 @@ def test_operator(spark):
     got = sorted((r.doc_id, r.subject) for r in document_subjects(df).collect())
     assert got == [(1, "databases"), (5, "databases"), (5, "sport"), (6, "databases"), (7, "databases")]
     assert document_subjects(df.limit(0)).count() == 0
+
+
+def test_rarity_and_calibration(spark):
+    assert np.allclose(rarity_of({0: 1000, 1: 100, 2: 500}, 4, 1000), [0.0, 1.0, np.log(0.5) / np.log(0.2), 1.0])
+    about = "The table scan is slow. The query plan shows why. A deadlock came."
+    docs = [(i, about) for i in range(30)] + [(i, "A table scan. " + "I will come back. " * 5) for i in range(30, 60)] + [(99, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "databases", "x") for i in range(30)], "doc_id long, subject string, labeller string")
+    assert calibrate(df, labels) == {"databases": 0.54}
+    # labels that call single remarks a subject pull the threshold down, a few wrong ones do not
+    assert calibrate(df, labels.union(spark.createDataFrame([(i, "databases", "x") for i in range(30, 60)], labels.schema)))["databases"] < 0.2
+    assert calibrate(df, labels.union(spark.createDataFrame([(30, "databases", "x"), (31, "databases", "x")], labels.schema))) == {"databases": 0.54}
