@@ -54,60 +54,51 @@ def token_lengths(documents: DataFrame, ranks_path: str) -> DataFrame:
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Container patterns for a histogram of lengths (1 to capacity): (containers, [(length, pieces of it), ...]).
 
-    Best fit decreasing over counts: the largest length left opens a pattern, which is filled with the largest length
-    that still fits, as often as it fits; the pattern is then used as often as the counts allow. A pattern ends only
-    where no length left fits. Each use of a pattern leaves one of its lengths with fewer pieces than the pattern takes,
-    so the number of patterns depends on the number of lengths, not on the counts.
+    Best fit decreasing over counts: lengths are taken from the largest down, and the pieces of a length go to the
+    fullest containers that still take one; where none does, new ones are opened. Containers with the same content are
+    one pattern with a number, and all its containers are filled at once, each with as many pieces as fit (the container
+    that has just taken one is then the fullest). A length ends some patterns and divides at most one, so the number of
+    patterns depends on the number of lengths, not on the counts.
     """
-    left = {n: c for n, c in counts.items() if c > 0 and n > 0}
-    sizes: list[int] = []
-    for n in left:
-        insort(sizes, n)
-    out = []
-    while sizes:
-        room, pattern = capacity, []
-        i = len(sizes) - 1
-        while i >= 0:
-            n = sizes[i]
-            k = min(room // n, left[n])
-            if k:
-                pattern.append((n, k))
-                room -= n * k
-            i = min(i, bisect_left(sizes, room + 1)) - 1
-        pattern, room = _better(pattern, room, sizes, left, capacity)
-        times = min(left[n] // k for n, k in pattern)
-        out.append((times, pattern))
-        for n, k in pattern:
-            left[n] -= k * times
-            if not left[n]:
-                sizes.pop(bisect_left(sizes, n))
-    return out
-
-
-def _better(pattern, room, sizes, left, capacity):
-    """Exchange the last kind of piece for the pair of lengths, or the one, that fills its place best."""
-    if not room or len(pattern) < 2:
-        return pattern, room
-    n, k = pattern[-1]
-    used = {a for a, _ in pattern[:-1]}
-    space = room + n * k
-    best, chosen = room, None
-    for a in reversed(sizes):
-        if a > space or a in used:
-            continue
-        j = bisect_left(sizes, space - a + 1) - 1
-        while j >= 0 and (sizes[j] in used or (sizes[j] == a and left[a] < 2)):
-            j -= 1
-        rest = space - a - (sizes[j] if j >= 0 else 0)
-        if rest < best:
-            best, chosen = rest, (a, sizes[j] if j >= 0 else None)
-            if not rest:
-                break
-    if chosen is None:
-        return pattern, room
-    a, b = chosen
-    new = [(a, 2)] if a == b else [(a, 1)] + ([(b, 1)] if b else [])
-    return pattern[:-1] + new, best
+    # patterns still open, by free room; rooms in rising order
+    rooms: list[int] = []
+    by_room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
+    done: list[tuple[int, list[tuple[int, int]]]] = []
+
+    def keep(room: int, times: int, pattern: list[tuple[int, int]]) -> None:
+        if not room:
+            done.append((times, pattern))
+            return
+        if room not in by_room:
+            insort(rooms, room)
+            by_room[room] = []
+        by_room[room].append((times, pattern))
+
+    for n in sorted((n for n, c in counts.items() if c > 0 and n > 0), reverse=True):
+        left = counts[n]
+        while left:
+            i = bisect_left(rooms, n)
+            if i == len(rooms):
+                room, times, pattern = capacity, -(-left // (capacity // n)), []
+            else:
+                room = rooms[i]
+                times, pattern = by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room]
+                    rooms.pop(i)
+            k = min(room // n, left)
+            full = min(times, left // k)
+            keep(room - k * n, full, [*pattern, (n, k)])
+            left -= full * k
+            if full < times:
+                if left:  # fewer than k are left: one more container takes them
+                    keep(room - left * n, 1, [*pattern, (n, left)])
+                    full, left = full + 1, 0
+                if pattern and full < times:
+                    keep(room, times - full, pattern)
+    for room in rooms:
+        done += by_room[room]
+    return done
 
 
 class Slots:
