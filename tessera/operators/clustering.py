@@ -1,7 +1,12 @@
-"""Density clustering with a hierarchy (HDBSCAN), assignment, and carrying labels over.
+"""Density clustering with a hierarchy (HDBSCAN) over all vectors, assignment of new ones, and outlier scores.
 
-The hierarchy is fitted on at most FIT_POINTS vectors (all of them, or those with the smallest hash of their id beyond
-that bound) in one numpy pass; every vector is then assigned by the fitted model.
+Core distances and links come from exact nearest neighbours, block by block (`block_search`); the links' spanning forest
+is reduced partition by partition, since the lightest tree of a union is that of the parts' lightest trees; parts that
+neighbours leave unconnected are joined by their lightest link of all, round by round (Boruvka). Only the tree, three
+numbers a vector, is then gathered in one task, which is where the hierarchy is read off.
+
+The tree is that of the links to at least NEIGHBOURS neighbours and between parts. A lighter link between two rows that
+are not among each other's NEIGHBOURS nearest, within one part, is not seen.
 """
 
 from __future__ import annotations
@@ -10,54 +15,74 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIT_POINTS = 5_000
+from tessera.operators.block_search import BLOCK, crossings, nearest_rows, numbered
+from tessera.runtime import broadcast_if_small, materialise
+
 MIN_CLUSTER_SIZE = 4
 EXEMPLARS = 3
+NEIGHBOURS = 16
+#: Links that one task reduces to a forest at a time.
+LINKS_PER_TASK = 2_000_000
+
 
+def _settle(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of each one's set after these links; `parent` holds it before."""
+    parent = parent.copy()
+    while len(a):
+        x, y = parent[a], parent[b]
+        low = np.minimum(x, y)
+        np.minimum.at(parent, x, low)
+        np.minimum.at(parent, y, low)
+        while not np.array_equal(parent, up := parent[parent]):
+            parent = up
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+    return parent
 
-def pair_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0))
 
+def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (by index) of the lightest spanning forest over numbers 0 to n - 1, and each one's part (Boruvka).
+
+    Ties go to the smaller a, then b.
+    """
+    order = np.lexsort((b, a, weight))
+    a, b = a[order], b[order]
+    part, chosen = np.arange(n), []
+    live = np.arange(len(a))
+    while len(live):
+        live = live[part[a[live]] != part[b[live]]]
+        if not len(live):
+            break
+        first = np.full(n, len(a))
+        np.minimum.at(first, part[a[live]], live)
+        np.minimum.at(first, part[b[live]], live)
+        take = np.unique(first[first < len(a)])
+        chosen.append(take)
+        part = _settle(part, part[a[take]], part[b[take]])[part]
+    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64), part
 
-def core_distances(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
-    """The distance of each point to its k-th neighbour, itself excluded."""
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return np.zeros(len(x))
-    out = np.empty(len(x))
-    for a in range(0, len(x), block):
-        d = pair_distances(x[a : a + block], x)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = -1
-        out[a : a + block] = np.partition(d, k, axis=1)[:, k]
-    return out
 
+@dataclass
+class Hierarchy:
+    """Flat clusters of a spanning tree: label (-1 is noise), membership probability and outlier score per point."""
 
-def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Minimum spanning tree of mutual reachability by Prim's algorithm: rows (a, b, weight), by weight."""
-    n = len(x)
-    best, frm = np.full(n, np.inf), np.zeros(n, int)
-    out, at, inside = [], 0, np.zeros(n, bool)
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.maximum(np.maximum(pair_distances(x[at : at + 1], x)[0], core), core[at])
-        nearer = ~inside & (d < best)
-        best[nearer], frm[nearer] = d[nearer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        out.append((frm[at], at, best[at]))
-    t = np.array(out, float).reshape(-1, 3)
-    return t[np.lexsort((t[:, 1], t[:, 0], t[:, 2]))]
+    labels: np.ndarray
+    probability: np.ndarray
+    outlier: np.ndarray
 
 
-def hierarchy_labels(tree: np.ndarray, n: int, least: int = MIN_CLUSTER_SIZE) -> np.ndarray:
-    """Flat labels from the tree by excess of mass; -1 is noise.
+def hierarchy(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, least: int = MIN_CLUSTER_SIZE, leaves: bool = False) -> Hierarchy:
+    """Clusters of a spanning tree by excess of mass, or its leaf clusters.
 
     Going up the tree, a component becomes a cluster when it reaches `least` points; two clusters that meet end and are
     the children of a new one; points that meet a cluster join it. A cluster's stability is its members times the span
     of 1 / distance it lives for; a cluster is taken if it is at least as stable as the best choice below it, and then
     nothing below it is (the whole set is never taken where it has children). Ends at distance 0 count as no span.
+    The probability is a point's 1 / distance within its cluster's span, 1 where that has no finite end; the outlier score
+    is 1 less the share of its 1 / distance in the cluster's largest, 1 for noise.
     """
     group = np.arange(n)
     members: dict[int, list[int]] = {i: [i] for i in range(n)}
@@ -66,6 +91,7 @@ def hierarchy_labels(tree: np.ndarray, n: int, least: int = MIN_CLUSTER_SIZE) ->
     died: list[float] = []
     kids: list[list[int]] = []
     own: list[list[int]] = []
+    joined = np.zeros(n)
 
     def begin(points: list[int], lam: float, children: list[int]) -> int:
         born.append(lam)
@@ -74,9 +100,10 @@ def hierarchy_labels(tree: np.ndarray, n: int, least: int = MIN_CLUSTER_SIZE) ->
         own.append(list(points))
         return len(born) - 1
 
-    for a, b, w in tree:
+    order = np.lexsort((b, a, weight))
+    for x, y, w in zip(a[order].tolist(), b[order].tolist(), weight[order].tolist()):
         lam = np.inf if w == 0 else 1 / w
-        ga, gb = group[int(a)], group[int(b)]
+        ga, gb = group[x], group[y]
         if len(members[ga]) < len(members[gb]):
             ga, gb = gb, ga
         ca, cb = alive.pop(ga, None), alive.pop(gb, None)
@@ -87,105 +114,201 @@ def hierarchy_labels(tree: np.ndarray, n: int, least: int = MIN_CLUSTER_SIZE) ->
             new = begin(kept + moved, lam, [ca, cb])
         elif ca is not None or cb is not None:
             new = ca if ca is not None else cb
-            own[new] += moved if ca is not None else kept
+            more = moved if ca is not None else kept
+            own[new] += more
+            joined[more] = lam
         else:
             new = begin(kept + moved, lam, []) if len(kept) + len(moved) >= least else None
+            if new is not None:
+                joined[own[new]] = lam
         kept += moved
         group[moved] = ga
         if new is not None:
             alive[ga] = new
     finite = lambda v: 0.0 if np.isinf(v) else v
     stable = [len(own[c]) * max(0.0, finite(born[c]) - died[c]) for c in range(len(born))]
+    top = set(alive.values())
     best, taken = list(stable), [True] * len(born)
     for c in range(len(born)):  # children always come before their parent
         if kids[c]:
             below = sum(best[k] for k in kids[c])
-            top = c in alive.values()
-            taken[c] = stable[c] >= below and not top
+            taken[c] = not leaves and stable[c] >= below and c not in top
             best[c] = stable[c] if taken[c] else below
     labels = np.full(n, -1)
-    stack, found = [c for c in alive.values()], []
+    stack, found = list(top), []
     while stack:
         c = stack.pop()
         if taken[c]:
             found.append(c)
         else:
             stack += kids[c]
+    probability, outlier = np.zeros(n), np.ones(n)
     for i, c in enumerate(sorted(found, key=lambda c: min(own[c]))):
-        labels[own[c]] = i
-    return labels
+        mine = np.array(own[c])
+        labels[mine] = i
+        lam = joined[mine]
+        ends = lam[np.isfinite(lam)]
+        most = ends.max() if len(ends) else 0.0
+        if most > died[c]:
+            probability[mine] = np.clip((np.minimum(lam, most) - died[c]) / (most - died[c]), 0, 1)
+        else:
+            probability[mine] = 1.0
+        outlier[mine] = np.where(np.isfinite(lam), np.clip(1 - lam / most, 0, 1), 0.0) if most else 0.0
+    return Hierarchy(labels, probability, outlier)
 
 
-@dataclass
-class Model:
-    """What assignment needs: per cluster its centroid, exemplars and mean distance to the centroid."""
-
-    centroids: np.ndarray
-    exemplars: np.ndarray
-    spread: np.ndarray
-
-
-def fit(ids: np.ndarray, x: np.ndarray, least: int = MIN_CLUSTER_SIZE) -> tuple[np.ndarray, Model]:
-    if len(x) < 2:
-        return np.full(len(x), -1), Model(np.zeros((0, x.shape[1] if x.ndim == 2 else 1)), np.zeros((0, EXEMPLARS, 1)), np.zeros(0))
-    labels = hierarchy_labels(spanning_tree(x, core_distances(x, least)), len(x), least)
-    cents, ex, spread = [], [], []
-    for c in range(labels.max() + 1):
-        mine = np.flatnonzero(labels == c)
-        m = x[mine].mean(0)
-        d = pair_distances(x[mine], m[None])[:, 0]
-        near = mine[np.lexsort((ids[mine], d))][:EXEMPLARS]
-        cents.append(m)
-        ex.append(x[np.resize(near, EXEMPLARS)])
-        spread.append(d.mean())
-    dim = x.shape[1]
-    return labels, Model(np.array(cents).reshape(-1, dim), np.array(ex).reshape(-1, EXEMPLARS, dim), np.array(spread))
-
-
-def predict(model: Model, x: np.ndarray, reach: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Label and distance by the nearest of centroids and exemplars; -1 beyond `reach` times the cluster's mean distance."""
-    if not len(model.centroids):
-        return np.full(len(x), -1), np.full(len(x), np.nan)
-    cd = pair_distances(x, model.centroids)
-    ed = np.min([pair_distances(x, model.exemplars[:, j]) for j in range(EXEMPLARS)], axis=0)
-    best = np.minimum(cd, ed).argmin(1)
-    at = np.arange(len(x))
-    ok = cd[at, best] <= reach * np.maximum(model.spread[best], 1e-12)
-    return np.where(ok, best, -1), cd[at, best]
-
-
-def hdbscan(vectors: DataFrame, least: int = MIN_CLUSTER_SIZE, fit_points: int = FIT_POINTS) -> DataFrame:
-    """id, label and distance to the centroid of every vector (`id, embedding`); -1 is noise.
-
-    Fitted points keep their label from the hierarchy; beyond `fit_points` vectors the others are assigned. Null
-    embeddings must be filtered before; an empty table gives an empty result.
+def _reduce(links: DataFrame, parts: int) -> DataFrame:
+    """The spanning forests of the links, by partitions."""
+
+    def run(frames):
+        f = pd.concat([x for x in frames if len(x)] or [pd.DataFrame({"a": [], "b": [], "weight": []})], ignore_index=True)
+        if not len(f):
+            return
+        names, at = np.unique(np.concatenate([f["a"], f["b"]]).astype(np.int64), return_inverse=True)
+        keep, _ = spanning_forest(at[: len(f)], at[len(f) :], f["weight"].to_numpy(float), len(names))
+        yield f.iloc[np.sort(keep)]
+
+    placed = links.coalesce(1) if parts == 1 else links.repartition(parts, F.floor(F.least("a", "b") / 4096))
+    return placed.mapInPandas(run, "a long, b long, weight double")
+
+
+def spanning_links(points: DataFrame, n: int, least: int, block: int = BLOCK, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The spanning tree (a, b, weight) of `num, embedding` by mutual reachability, and the core distance of each num.
+
+    `near`: the nearest rows, if they are known (at least `least` a row).
     """
-    kind = dict(vectors.dtypes)["id"]
-    sample = vectors.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(fit_points).toPandas()
-    if not len(sample):
-        return vectors.sparkSession.createDataFrame([], f"id {kind}, label int, distance double")
-    sample = sample.sort_values("id").reset_index(drop=True)
-    ids, x = sample["id"].to_numpy(), np.array([np.asarray(e, np.float64) for e in sample["embedding"]])
-    labels, model = fit(ids, x, least)
-    shared = vectors.sparkSession.sparkContext.broadcast((dict(zip(ids.tolist(), labels.tolist())), model))
+    if near is None:
+        near = materialise(nearest_rows(points, points, min(n - 1, max(least, NEIGHBOURS)), True, block), "near")
+    core = materialise(near.groupBy("num").agg(F.max(F.when(F.col("rank") <= least, F.col("distance"))).alias("core")), "core")
+    ends = near.join(broadcast_if_small(core), "num").join(broadcast_if_small(core.select(F.col("num").alias("other"), F.col("core").alias("core2"))), "other")
+    links = ends.select(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b"), F.greatest("distance", "core", "core2").alias("weight")).distinct()
+    while True:
+        size = (links := materialise(links, "links")).count()
+        while size > LINKS_PER_TASK:
+            parts = -(-size // LINKS_PER_TASK)
+            links = materialise(_reduce(links, max(1, parts // 2)), "links")
+            if size == (size := links.count()) or parts == 1:
+                break
+        tree = materialise(_reduce(links, 1), "tree")
+        if tree.count() >= n - 1:
+            return tree, core
+        parts = materialise(tree.coalesce(1).mapInPandas(_parts_of(n), "num long, part long"), "parts")
+        rows = materialise(points.select("num", "embedding").join(core, "num").join(parts, "num"), "parted")
+        links = tree.unionByName(crossings(rows, n, block)).distinct()
+
 
+def _parts_of(n: int):
     def run(frames):
-        fitted, model = shared.value
-        for f in frames:
-            if not len(f):
-                continue
-            y = np.array([np.asarray(e, np.float64) for e in f["embedding"]])
-            label, _ = predict(model, y)
-            label = np.array([fitted.get(i, k) for i, k in zip(f["id"].tolist(), label.tolist())])
-            d = np.full(len(y), np.nan)
-            inside = label >= 0
-            if inside.any():
-                d[inside] = np.linalg.norm(y[inside] - model.centroids[label[inside]], axis=1)
-            yield pd.DataFrame({"id": f["id"], "label": label.astype(np.int32), "distance": d})
-
-    return vectors.select("id", "embedding").mapInPandas(run, f"id {kind}, label int, distance double")
+        f = pd.concat(list(frames) or [pd.DataFrame({"a": [], "b": []})], ignore_index=True)
+        part = _settle(np.arange(n), f["a"].to_numpy(np.int64), f["b"].to_numpy(np.int64))
+        for lo in range(0, n, 50_000):
+            yield pd.DataFrame({"num": np.arange(lo, min(n, lo + 50_000)), "part": part[lo : lo + 50_000]})
+
+    return run
+
+
+def hdbscan(vectors: DataFrame, least: int = MIN_CLUSTER_SIZE, leaves: bool = False, block: int = BLOCK) -> DataFrame:
+    """id, label, distance to the centroid, probability and outlier score of every vector (`id, embedding`); -1 is noise.
+
+    Labels count from 0 in the order of the clusters' smallest ids. All vectors take part, whatever their number; equal
+    vectors are at distance 0. Null embeddings must be filtered before; ids must be distinct; an empty table gives an
+    empty result and a single vector is noise.
+    """
+    kind = dict(vectors.dtypes)["id"]
+    schema = f"id {kind}, label int, distance double, probability double, outlier double"
+    points = numbered(vectors)
+    n = points.count()
+    if n < 2:
+        return points.select("id", F.lit(-1).alias("label"), F.lit(None).cast("double").alias("distance"), F.lit(0.0).alias("probability"), F.lit(1.0).alias("outlier")).to(vectors.sparkSession.createDataFrame([], schema).schema)
+    labels = _labelled(spanning_links(points, n, least, block)[0], n, least, leaves)
+    rows = materialise(points.join(broadcast_if_small(labels), "num"), "labelled")
+    means = _means(rows.filter("label >= 0"))
+    far = F.sqrt(F.aggregate(F.zip_with("embedding", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return rows.join(broadcast_if_small(means), "label", "left").select("id", "label", F.when(F.col("label") >= 0, far).alias("distance"), "probability", "outlier")
+
+
+def _labelled(tree: DataFrame, n: int, least: int, leaves: bool = False) -> DataFrame:
+    def read(frames):
+        f = pd.concat(list(frames), ignore_index=True)
+        h = hierarchy(f["a"].to_numpy(np.int64), f["b"].to_numpy(np.int64), f["weight"].to_numpy(float), n, least, leaves)
+        for lo in range(0, n, 50_000):
+            hi = min(n, lo + 50_000)
+            yield pd.DataFrame({"num": np.arange(lo, hi), "label": h.labels[lo:hi].astype(np.int32), "probability": h.probability[lo:hi], "outlier": h.outlier[lo:hi]})
+
+    return materialise(tree.coalesce(1).mapInPandas(read, "num long, label int, probability double, outlier double"), "labels")
+
+
+def sweep(vectors: DataFrame, sizes: list[int], block: int = BLOCK) -> DataFrame:
+    """least, n_clusters and noise (share) for several least cluster sizes; neighbours are searched once."""
+    points = numbered(vectors)
+    n = points.count()
+    near = materialise(nearest_rows(points, points, min(max(1, n - 1), max(*sizes, NEIGHBOURS)), True, block), "near")
+    out = None
+    for least in sizes if n > 1 else []:
+        labels = _labelled(spanning_links(points, n, least, block, near)[0], n, least)
+        row = labels.agg(F.lit(least).alias("least"), (F.max("label") + 1).alias("n_clusters"), F.avg((F.col("label") < 0).cast("double")).alias("noise"))
+        out = row if out is None else out.unionByName(row)
+    return out if out is not None else vectors.sparkSession.createDataFrame([], "least int, n_clusters int, noise double")
+
+
+def _means(rows: DataFrame) -> DataFrame:
+    """label and the mean of its embeddings, position by position with partial sums."""
+    e = rows.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
+    return materialise(e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean")), "means")
+
+
+def cluster_model(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """What assignment needs, as a table: per cluster its centroid, EXEMPLARS nearest members (`kind` 0 and 1) and `spread`,
+    the mean distance to the centroid: label, kind, spread, embedding."""
+    own = labels.filter("label >= 0").select("id", "label", "distance").join(vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "id")
+    means = _means(own)
+    spread = own.groupBy("label").agg(F.avg("distance").alias("spread"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(32))
+    best = lambda c: F.slice(F.sort_array(c), 1, EXEMPLARS)
+    part = own.groupBy("label", salt.alias("salt")).agg(best(F.collect_list(F.struct("distance", "id", "embedding"))).alias("s"))
+    typical = part.groupBy("label").agg(best(F.flatten(F.collect_list("s"))).alias("s")).select("label", F.explode("s").alias("x")).select("label", F.lit(1).alias("kind"), "x.embedding")
+    rows = means.select("label", F.lit(0).alias("kind"), F.col("mean").alias("embedding")).unionByName(typical)
+    return rows.join(spread, "label").select("label", "kind", "spread", "embedding")
+
+
+def assign(vectors: DataFrame, model: DataFrame, reach: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """id, label of new vectors: the cluster of the nearest centroid or exemplar, -1 where its centroid is farther than
+    `reach` times the cluster's spread. Without clusters all are noise."""
+    m = materialise(rank_within_model(model), "model")
+    points = numbered(vectors)
+    if m.isEmpty():
+        return points.select("id", F.lit(-1).alias("label"))
+    near = nearest_rows(points, m, 1, False, block).join(m.select(F.col("num").alias("other"), "label", "spread"), "other").select("num", "label", "spread")
+    cents = m.filter("kind = 0").select("label", F.col("embedding").alias("mean"))
+    far = F.sqrt(F.aggregate(F.zip_with("embedding", "mean", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    got = points.join(near, "num").join(broadcast_if_small(cents), "label")
+    return got.select("id", F.when(far <= reach * F.greatest("spread", F.lit(1e-12)), F.col("label")).otherwise(-1).alias("label"))
+
+
+def rank_within_model(model: DataFrame) -> DataFrame:
+    from tessera.operators.ranking import rank_within
+
+    return rank_within(model, [], ["label", "kind", "embedding"], "num")
+
+
+def save_model(model: DataFrame, path: str, n_fitted: int) -> None:
+    """Keep a fitted model (of a project and an embedding model, by path) with the number of vectors it was fitted on."""
+    model.withColumn("n_fitted", F.lit(n_fitted).cast("long")).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    m = spark.read.parquet(path)
+    r = m.select("n_fitted").first()
+    return m.drop("n_fitted"), r.n_fitted if r else 0
 
 
 def needs_refit(n_fitted: int, n_new: int, most_growth: float = 0.3) -> bool:
     """Whether new vectors are too many for incremental assignment."""
     return n_fitted == 0 or n_new / n_fitted > most_growth
+
+
+def update(vectors: DataFrame, model: DataFrame, n_fitted: int, least: int = MIN_CLUSTER_SIZE) -> tuple[DataFrame, bool]:
+    """Labels (id, label) of new vectors by the model, or of a fit of them where they are too many for it; and which."""
+    if needs_refit(n_fitted, vectors.count()):
+        return hdbscan(vectors, least).select("id", "label"), True
+    return assign(vectors, model), False

@@ -17,7 +17,7 @@ from tessera.operators import graph as G
 from tessera.operators import transcripts as T
 from tessera.operators import vector_search as VS
 from tessera.operators.lookups import jaccard_matches, one_to_one
-from tessera.runtime import materialise
+from tessera.runtime import broadcast_if_small, materialise
 
 
 def ingest(messages: DataFrame, most_tokens: int = T.MAX_TOKENS) -> dict[str, DataFrame]:
@@ -69,11 +69,11 @@ def recluster(vectors: DataFrame, old: DataFrame | None = None, threshold: float
     fitted = materialise(C.hdbscan(vectors), "fitted")
     own = fitted.filter("label >= 0").join(vectors, "id").select("id", "label", "embedding")
     cents = materialise(VS.centroids(own, "label"), "centroids")
-    listed = cents.agg(F.collect_list(F.struct("label", "centroid")).alias("cs"))
-    a = own.join(F.broadcast(cents), "label").select("id", "label", V.angular(F.col("embedding"), F.col("centroid")).alias("distance"))
-    noise = fitted.filter("label < 0").select("id").join(vectors, "id").join(F.broadcast(listed))
-    near = F.filter(F.transform("cs", lambda c: F.struct(c["label"].alias("label"), V.angular(F.col("embedding"), c["centroid"]).alias("distance"))), lambda c: c["distance"] < threshold)
-    a = materialise(a.unionByName(noise.select("id", F.explode(near).alias("c")).select("id", "c.label", "c.distance")), "assigned")
+    a = own.join(broadcast_if_small(cents), "label").select("id", "label", V.angular(F.col("embedding"), F.col("centroid")).alias("distance"))
+    # noise within the threshold of a centroid: an angle is a distance between unit vectors, so candidates come block-wise
+    noise = fitted.filter("label < 0").select("id").join(vectors, "id")
+    near = VS.within_angle(noise, cents.select(F.col("label").alias("id"), F.col("centroid").alias("embedding")), threshold)
+    a = materialise(a.unionByName(near.select(F.col("qid").alias("id"), F.col("id").alias("label"), "distance")), "assigned")
     out = {"assignments": a, "centroids": cents}
     if old is not None:
         out["names"] = one_to_one(jaccard_matches(old, a.select(F.col("label").alias("grp"), F.col("id").alias("member")), 0.5), "old_group", "new_group", "overlap")
@@ -90,21 +90,6 @@ def top_terms(docs: DataFrame, group: str, k: int = 5, least_df: int = 2) -> Dat
     return G.top_per(s, group, k, F.desc("score"), F.col("term"))
 
 
-def save_model(spark: SparkSession, path: str, project: str, model_id: str, model: C.Model, n: int) -> None:
-    """Keep a fitted model under its project and embedding model."""
-    row = (project, model_id, n, model.centroids.tolist(), model.exemplars.tolist(), model.spread.tolist())
-    df = spark.createDataFrame([row], "project string, model_id string, n_fitted int, centroids array<array<double>>, exemplars array<array<array<double>>>, spread array<double>")
-    df.write.mode("overwrite").parquet(os.path.join(path, f"project={project}", f"model={model_id}"))
-
-
-def load_model(spark: SparkSession, path: str, project: str, model_id: str) -> tuple[C.Model, int]:
-    import numpy as np
-
-    r = spark.read.parquet(os.path.join(path, f"project={project}", f"model={model_id}")).first()
-    c = np.array(r.centroids, float)
-    return C.Model(c, np.array(r.exemplars, float).reshape(len(c), C.EXEMPLARS, -1), np.array(r.spread, float)), r.n_fitted
-
-
 def time_window(now: datetime, days_back: float | None = None, start: datetime | None = None, end: datetime | None = None, session: str | None = None, previous: bool = False) -> dict:
     """What a reconstruction request asks for: a previous session, a session, days back, or a half-open range."""
     if previous:

@@ -87,6 +87,38 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "angu
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def within_angle(vectors: DataFrame, centres: DataFrame, most: float, only_nearest: bool = False) -> DataFrame:
+    """qid, id, distance: every centre (`id, embedding`) within an angle (share of pi, below `most`) of each vector, or
+    only the nearest of each block of centres (angles at 6 decimals, ties to the smaller id).
+
+    Centres are sent to the executors in blocks of bounded size and compared by matrix products.
+    """
+    kind, of = dict(vectors.dtypes)["id"], dict(centres.dtypes)["id"]
+    spark = vectors.sparkSession
+    parts = None
+    for ids, x in query_blocks(centres):
+        order = np.argsort(ids)
+        shared = spark.sparkContext.broadcast((ids[order], x[order]))
+
+        def run(frames, shared=shared):
+            ids, x = shared.value
+            for f in frames:
+                if len(f) and only_nearest:
+                    d = np.round(_metric(_matrix(f["embedding"].tolist()), x, "angular"), 6)
+                    b = d.argmin(1)
+                    low = d[np.arange(len(d)), b]
+                    ok = low < most
+                    yield pd.DataFrame({"qid": f["id"].to_numpy()[ok], "id": ids[b[ok]], "distance": low[ok]})
+                elif len(f):
+                    d = _metric(_matrix(f["embedding"].tolist()), x, "angular")
+                    a, b = np.nonzero(d < most)
+                    yield pd.DataFrame({"qid": f["id"].to_numpy()[a], "id": ids[b], "distance": d[a, b]})
+
+        part = vectors.select("id", "embedding").mapInPandas(run, f"qid {kind}, id {of}, distance double")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts if parts is not None else spark.createDataFrame([], f"qid {kind}, id {of}, distance double")
+
+
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """Per group the unit-length mean of its embeddings (null where the mean is zero).
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from tessera.plans.graphs import _SEEDS, _seeds, _walk_sql
 from tessera.plans.registry import Registry
 from tessera.plans.search import _ANG, _CEN, _E, _STATED, _embeddings
 from tessera.plans.texts import _JACCARD, _KEYS, _PATHS, _TRIM, _USER, q
-from tessera.runtime import read_table
+from tessera.runtime import materialise, read_table
 from tessera.sources import store as S
 from tessera.sources.store import prelude as P
 
@@ -32,18 +30,36 @@ def hdbscan_labels(spark, d):
     return C.hdbscan(_embeddings(spark, d))
 
 
+@register()
+def hdbscan_leaves(spark, d):
+    """The finest clusters of the same hierarchy."""
+    return C.hdbscan(_embeddings(spark, d), leaves=True)
+
+
+@register(f"WITH {_E} SELECT count(*) AS n, true AS sizes_hold, true AS scores_hold, true AS labels_dense FROM x")
+def hdbscan_checks(spark, d):
+    """What must hold of the clusters: sizes of at least 4, probabilities and scores from 0 to 1, labels without gaps."""
+    h = materialise(C.hdbscan(_embeddings(spark, d)), "labels")
+    by = h.filter("label >= 0").groupBy("label").count().agg(F.coalesce(F.min("count"), F.lit(4)).alias("least"), F.count("*").alias("n_labels"), F.coalesce(F.max("label"), F.lit(-1)).alias("top"))
+    ok = F.col("probability").between(0, 1) & F.col("outlier").between(0, 1) & ((F.col("label") >= 0) | ((F.col("probability") == 0) & (F.col("outlier") == 1)))
+    return h.agg(F.count("*").alias("n"), F.min(ok).alias("scores_hold")).join(F.broadcast(by)).select("n", (F.col("least") >= 4).alias("sizes_hold"), "scores_hold", (F.col("top") + 1 == F.col("n_labels")).alias("labels_dense"))
+
+
 @register()
 def hdbscan_incremental(spark, d):
-    """A model fitted on 300 vectors only; all others are assigned by it."""
-    return C.hdbscan(_embeddings(spark, d), fit_points=300)
+    """A model fitted on the older three quarters of the vectors, by id; the newer quarter is assigned by it."""
+    e = _embeddings(spark, d)
+    edge = F.broadcast(e.agg((F.max("id") * 3 / 4).alias("edge")))
+    old = materialise(e.join(edge).filter(F.col("id") <= F.col("edge")).drop("edge"), "old")
+    new = e.join(edge).filter(F.col("id") > F.col("edge")).drop("edge")
+    fitted = materialise(C.hdbscan(old), "fitted")
+    return fitted.select("id", "label").unionByName(C.assign(new, C.cluster_model(old, fitted)))
 
 
 @register()
 def hdbscan_sweep(spark, d):
     """Clusters and noise for several least cluster sizes."""
-    e = _embeddings(spark, d)
-    rows = [C.hdbscan(e, least=m).agg(F.lit(m).alias("least"), F.max("label").alias("m"), F.avg((F.col("label") < 0).cast("double")).alias("noise")).select("least", (F.col("m") + 1).alias("n_clusters"), "noise") for m in (3, 5, 8)]
-    return reduce(DataFrame.unionByName, rows)
+    return C.sweep(_embeddings(spark, d), [2, 3, 4, 5, 6, 8, 10, 12, 15])
 
 
 @register("WITH x AS (SELECT vec_id, label FROM embeddings) SELECT count(DISTINCT label) FILTER (label > 0) AS n_clusters, round(avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END), 6) AS noise_ratio FROM x")

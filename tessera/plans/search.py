@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.functions.porter import stems
+from tessera.operators import block_search as B
 from tessera.operators import fulltext, retrieval
 from tessera.operators import vector_search as VS
 from tessera.plans.registry import Registry
-from tessera.runtime import materialise, read_table
+from tessera.runtime import broadcast_if_small, materialise, read_table
 from tessera.sources import store as S
 from tessera.sources.store import prelude as P
 
@@ -130,14 +131,20 @@ def core_distance(spark, d):
 
 
 @register(f"""WITH {_E}, {_STATED}, p AS (SELECT q.id AS qid, x.id, round(list_distance(q.embedding, x.embedding), 6) AS distance FROM q JOIN x ON q.id <> x.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM p),
-k AS (SELECT qid, distance AS core FROM r WHERE rank = 4) SELECT r.qid, r.id, greatest(a.core, b.core, r.distance) AS mutual FROM r JOIN k a ON a.qid = r.qid JOIN k b ON b.qid = r.id WHERE r.rank <= 200""")
+k AS (SELECT qid, distance AS core FROM r WHERE rank = 4), m AS (SELECT p.qid, p.id, round(greatest(a.core, b.core, p.distance), 6) AS mutual FROM p JOIN k a ON a.qid = p.qid JOIN k b ON b.qid = p.id),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY mutual, id) AS INTEGER) AS rank FROM m) SELECT * FROM s WHERE rank <= 5""")
 def mutual_reachability(spark, d):
-    """The largest of both core distances and the distance, between stated queries among their 200 nearest."""
+    """Of the stated queries the 5 nearest to each other by mutual reachability (core distances are against all vectors):
+    every pair of them is compared, in blocks."""
     e = _embeddings(spark, d)
-    near = VS.knn_join(e.filter("id % 50 = 0"), e, 200, "euclidean")
-    core = near.filter("rank = 4").select("qid", F.col("distance").alias("core"))
-    both = near.join(core, "qid").join(core.select(F.col("qid").alias("id"), F.col("core").alias("other")), "id")
-    return both.select("qid", "id", F.greatest("core", "other", "distance").alias("mutual"))
+    mine = e.filter("id % 50 = 0")
+    core = VS.knn_join(mine, e, 4, "euclidean").filter("rank = 4").select(F.col("qid").alias("id"), F.col("distance").alias("core"))
+    points = B.numbered(mine)
+    rows = materialise(points.join(core, "id"), "cores")
+    near = B.nearest_by_reach(rows, rows, 5)
+    names = points.select("num", "id")
+    got = near.join(names.withColumnRenamed("id", "qid"), "num").join(names.select(F.col("num").alias("other"), "id"), "other")
+    return got.select("qid", "id", F.col("distance").alias("mutual"), "rank")
 
 
 @register(f"WITH {_E}, y AS (SELECT label, i, avg(embedding[i]) AS m FROM x, range(1, 65) t(i) GROUP BY 1, 2), z AS (SELECT label, list(m ORDER BY i) AS c FROM y GROUP BY 1) SELECT label, list_transform(c, lambda v: round(v / sqrt(list_sum(list_transform(c, lambda u: u * u))), 6)) AS centroid FROM z")
@@ -153,7 +160,7 @@ _CEN = f"{_E}, y AS (SELECT label, i, avg(embedding[i]) AS m FROM x, range(1, 65
 def exemplars(spark, d):
     """The 3 members nearest to each centroid, as a bounded minimum per group."""
     e = _embeddings(spark, d)
-    j = e.join(F.broadcast(VS.centroids(e, "label")), "label").select("label", F.struct(F.round(V.angular(F.col("embedding"), F.col("centroid")), 6).alias("distance"), "id").alias("s"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt"))
+    j = e.join(broadcast_if_small(VS.centroids(e, "label")), "label").select("label", F.struct(F.round(V.angular(F.col("embedding"), F.col("centroid")), 6).alias("distance"), "id").alias("s"), F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt"))
     best = lambda c: F.slice(F.sort_array(c), 1, 3)
     part = j.groupBy("label", "salt").agg(best(F.collect_list("s")).alias("s"))
     return part.groupBy("label").agg(best(F.flatten(F.collect_list("s"))).alias("s")).select("label", F.explode("s").alias("x")).select("label", "x.id", "x.distance")
@@ -161,20 +168,21 @@ def exemplars(spark, d):
 
 @register(f"WITH {_CEN}, r AS (SELECT id, label, cl, round({_ANG.format('embedding', 'c')}, 6) AS distance FROM x, z), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, cl) AS r FROM r) SELECT id, label, cl AS nearest, distance FROM s WHERE r = 1")
 def nearest_cluster(spark, d):
-    """Each vector against the centroids, a table of one row a cluster that is broadcast."""
+    """Each vector against the centroids, which are sent in blocks of bounded size."""
     e = _embeddings(spark, d)
-    c = VS.centroids(e, "label").agg(F.collect_list(F.struct("label", "centroid")).alias("cs"))
-    dist = F.transform("cs", lambda x: F.struct(F.round(V.angular(F.col("embedding"), x["centroid"]), 6).alias("distance"), x["label"].alias("nearest")))
-    return e.join(F.broadcast(c)).select("id", "label", F.array_min(dist).alias("m")).select("id", "label", "m.nearest", "m.distance")
+    c = VS.centroids(e, "label").select(F.col("label").alias("id"), F.col("centroid").alias("embedding"))
+    near = VS.within_angle(e, c, 1.1, only_nearest=True).select(F.col("qid").alias("id"), F.struct(F.round("distance", 6).alias("distance"), F.col("id").alias("nearest")).alias("m"))
+    best = near.groupBy("id").agg(F.min("m").alias("m"))
+    return e.select("id", "label").join(best, "id").select("id", "label", "m.nearest", "m.distance")
 
 
 @register(f"WITH {_CEN}, r AS (SELECT id, label, cl, round({_ANG.format('embedding', 'c')}, 6) AS distance FROM x, z) SELECT id, cl AS cluster, distance FROM r WHERE distance < 0.48 AND label <> cl")
 def noise_rescue(spark, d):
     """Further clusters of a vector within the threshold of their centroid (several are possible)."""
     e = _embeddings(spark, d)
-    c = VS.centroids(e, "label").agg(F.collect_list(F.struct("label", "centroid")).alias("cs"))
-    near = F.filter(F.transform("cs", lambda x: F.struct(x["label"].alias("cluster"), F.round(V.angular(F.col("embedding"), x["centroid"]), 6).alias("distance"))), lambda m: (m["distance"] < 0.48) & (m["cluster"] != F.col("label")))
-    return e.join(F.broadcast(c)).select("id", F.explode(near).alias("m")).select("id", "m.cluster", "m.distance")
+    c = VS.centroids(e, "label").select(F.col("label").alias("id"), F.col("centroid").alias("embedding"))
+    near = VS.within_angle(e, c, 0.49).select(F.col("qid").alias("id"), F.col("id").alias("cluster"), F.round("distance", 6).alias("distance")).filter("distance < 0.48")
+    return near.join(e.select("id", "label"), "id").filter("cluster <> label").select("id", "cluster", "distance")
 
 
 @register(f"WITH {_E}, {_STATED}, g AS (SELECT id // 100 AS grp, embedding AS v FROM q), p AS (SELECT x.id, max(round(list_cosine_similarity(x.embedding, g.v), 6)) AS best FROM x, g WHERE g.grp = 0 GROUP BY 1) SELECT id, best FROM p ORDER BY best DESC, id LIMIT 20")

@@ -11,6 +11,7 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.functions.porter import stem
 from tessera.operators import clustering as C
+from tessera.operators.block_search import numbered
 from tessera.operators import decay as D
 from tessera.operators import evaluation as E
 from tessera.operators import graph as G
@@ -274,18 +275,56 @@ def test_turn_packing():
 def test_hdbscan_shapes(spark):
     r = np.random.default_rng(42)
     blobs = np.concatenate([r.normal(c, 0.7, size=(50, 3)) for c in ([10, 0, 0], [-10, 0, 0], [0, 10, 0])])
-    ids = np.arange(len(blobs))
-    labels, _ = C.fit(ids, blobs, 5)
-    assert labels.max() == 2 and (labels < 0).mean() < 0.3
-    assert all(len(set(labels[i : i + 50]) - {-1}) == 1 for i in (0, 50, 100))
-    twice = np.concatenate([blobs, blobs[:10]])
-    lab, _ = C.fit(np.arange(len(twice)), twice, 5)
-    assert all(lab[i] == lab[len(blobs) + i] for i in range(10))
-    df = spark.createDataFrame([(int(i), b.tolist()) for i, b in zip(ids, blobs)], "id long, embedding array<double>")
-    got = {x.id: x.label for x in C.hdbscan(df, 5, fit_points=90).collect()}
-    assert len(got) == 150 and len(set(got.values()) - {-1}) == 3
+    points = np.concatenate([blobs, blobs[:10]])
+    df = spark.createDataFrame([(int(i), b.tolist()) for i, b in enumerate(points)], "id long, embedding array<double>")
+    for block in (10_000, 37):
+        rows = {x.id: x for x in C.hdbscan(df, 5, block=block).collect()}
+        labels = np.array([rows[i].label for i in range(len(points))])
+        assert labels.max() == 2 and (labels < 0).mean() < 0.3
+        assert all(len(set(labels[i : i + 50]) - {-1}) == 1 for i in (0, 50, 100)) and (labels[:10] == labels[150:]).all()
+        assert all((x.label < 0) == (x.distance is None) and 0 <= x.probability <= 1 and 0 <= x.outlier <= 1 for x in rows.values())
+        assert all(x.outlier == 1 and x.probability == 0 for x in rows.values() if x.label < 0)
+    fine = [x.label for x in C.hdbscan(df, 5, leaves=True).collect()]
+    assert max(fine) >= 2
     assert C.hdbscan(df.limit(0)).count() == 0
-    assert C.fit(ids[:1], blobs[:1])[0].tolist() == [-1]
+    assert [x.label for x in C.hdbscan(df.limit(1)).collect()] == [-1]
+
+
+def test_spanning_tree_equals_prim(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(60, 4)), r.normal(size=(60, 4)) + 30, r.normal(size=(3, 4)) + 90])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 4]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    best, total, inside = np.full(len(x), np.inf), 0.0, np.zeros(len(x), bool)
+    at = 0
+    for _ in range(len(x) - 1):
+        inside[at] = True
+        best = np.minimum(best, reach[at])
+        at = int(np.where(inside, np.inf, best).argmin())
+        total += best[at]
+    points = numbered(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>"))
+    tree, got = C.spanning_links(points, len(x), 4, block=50)
+    rows = tree.collect()
+    assert len(rows) == len(x) - 1 and np.isclose(sum(t.weight for t in rows), total)
+    assert np.allclose([c.core for c in got.orderBy("num").collect()], core)
+
+
+def test_assignment_and_models(spark, tmp_path):
+    r = np.random.default_rng(5)
+    blobs = np.concatenate([r.normal(c, 0.5, size=(30, 3)) for c in ([9, 0, 0], [-9, 0, 0])])
+    df = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(blobs)], "id int, embedding array<double>")
+    labels = C.hdbscan(df)
+    model = C.cluster_model(df, labels)
+    C.save_model(model, str(tmp_path / "m"), 60)
+    back, n = C.load_model(spark, str(tmp_path / "m"))
+    new = spark.createDataFrame([(100, [9.0, 0.1, 0.0]), (101, [-9.0, 0.0, 0.2]), (102, [0.0, 50.0, 0.0])], "id int, embedding array<double>")
+    own = {x.id: x.label for x in labels.collect()}
+    got = {x.id: x.label for x in C.assign(new, back).collect()}
+    assert n == 60 and got[100] in {own[i] for i in range(30)} - {-1} and got[101] in {own[i] for i in range(30, 60)} - {-1} and got[102] == -1
+    assert C.needs_refit(40, 20) and not C.needs_refit(40, 5) and C.needs_refit(0, 1)
+    assert C.update(new, back, 60)[1] is False and C.update(df, back, 60)[1] is True
+    assert {x.label for x in C.assign(new, model.limit(0)).collect()} == {-1}
 
 
 def test_metrics(spark):

@@ -1,10 +1,8 @@
 import json
 from datetime import datetime
 
-import numpy as np
 import pytest
 
-from tessera.operators import clustering as C
 from tessera.operators import decay as D
 from tessera.operators import pipelines as P
 
@@ -35,16 +33,6 @@ def test_report_and_history(spark, tmp_path):
     assert len(spark.read.option("header", "true").csv(str(tmp_path / "c")).columns) == len(D.MODELS) + 1
 
 
-def test_model_round_trip(spark, tmp_path):
-    r = np.random.default_rng(1)
-    x = np.concatenate([r.normal(0, 0.1, (20, 3)), r.normal(5, 0.1, (20, 3))])
-    _, model = C.fit(np.arange(40), x)
-    P.save_model(spark, str(tmp_path), "p", "m", model, 40)
-    back, n = P.load_model(spark, str(tmp_path), "p", "m")
-    assert n == 40 and np.allclose(back.centroids, model.centroids) and (C.predict(back, x)[0] == C.predict(model, x)[0]).all()
-    assert C.needs_refit(40, 20) and not C.needs_refit(40, 5) and C.needs_refit(0, 1)
-
-
 def test_recall_falls_back_to_search(spark):
     hits = spark.createDataFrame([("a", 0.5), ("z", 0.9)], "id string, score double")
     edges = spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")
