@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,6 @@ RULES = {
 # Extensions of the languages, and the order of symbol types.
 LANGUAGES = {"scala": "scala", "kt": "kotlin", "swift": "swift", "hs": "haskell", "lua": "lua", "dart": "dart", "zig": "zig", "ex": "elixir", "exs": "elixir", "pl": "perl", "pm": "perl", "r": "r"}
 TYPE_ORDER = ["class", "interface", "type", "enum", "function", "variable", "method", "export", "import", "identifier"]
-MOST_FILES = 10_000
 _CALL = r"([A-Za-z_]\w{2,})\s*\("
 
 
@@ -38,14 +39,22 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(m, F.lower(F.element_at(F.split(path, r"\."), -1)))
 
 
-def scan_tree(spark: SparkSession, root: str, most: int = MOST_FILES) -> DataFrame:
-    """The source files under `root` by extension, without hidden and dependency folders: file, language, mtime, source.
+def _glob(pattern: str) -> str:
+    folder = pattern.endswith("/")
+    parts = [".*" if p == "**" else "[^/]*" if p == "*" else "[^/]" if p == "?" else re.escape(p) for p in re.split(r"(\*\*|\*|\?)", pattern.strip("/")) if p]
+    return "".join(parts) + ("/" if folder else "(/|$)")
+
 
-    The cap on the number of files is the reference behaviour of a project scan, in path order.
+def scan_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """The source files under `root` by extension, without hidden and dependency folders and what the patterns of
+    `ignore` (shell wildcards over the path below the root, `**` across folders, a trailing / for folders) name: file,
+    language, mtime, source. Only names are listed before files are opened.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     f = f.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull() & ~F.col("path").rlike(r"/(\.[^/]+|node_modules|dist|build|vendor)/"))
-    return f.orderBy("path").limit(most).select(F.col("path").alias("file"), "language", F.col("modificationTime").alias("mtime"), F.decode("content", "utf-8").alias("source"))
+    for pattern in ignore or []:
+        f = f.filter(~F.col("path").rlike("/" + _glob(pattern)))
+    return f.select(F.col("path").alias("file"), "language", F.col("modificationTime").alias("mtime"), F.decode("content", "utf-8").alias("source"))
 
 
 def tags(files: DataFrame, calls: bool = False) -> DataFrame:

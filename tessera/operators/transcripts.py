@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import rank_within
 from tessera.operators.shred import shred_blocks
+from tessera.runtime import materialise
 
 MAX_TOKENS, MIN_TOKENS, RESULT_CHARS = 4096, 64, 500
 FILE_TOOLS = ("Read", "Write", "Edit", "Glob", "NotebookEdit")
@@ -54,12 +57,23 @@ def tool_exchanges(messages: DataFrame) -> DataFrame:
     return use.join(got, ["session", "tool_use_id"], "left").select("session", "tool_use_id", "u.*", "r.*")
 
 
-def rendered_turns(numbered: DataFrame, thinking: bool = True) -> DataFrame:
+def rendered_turns(numbered: DataFrame, thinking: bool = True, mode: str = "full") -> DataFrame:
     """session, turn, started, ended, text: the blocks of each turn in order under role and tool markers.
 
-    Results are cut at 500 characters. Blank blocks are left out.
+    Results are cut at 500 characters. Blank blocks are left out. Modes: `full`; `summary` names the tools used without
+    their input and leaves thinking and results out; `code-focused` keeps of each text its fenced code alone (texts
+    without any in full) and leaves thinking out.
     """
+    if mode not in ("full", "summary", "code-focused"):
+        raise ValueError(f"no such mode: {mode}")
     b = shred_blocks(numbered, "uuid", "content").filter("parent_path is null")
+    if mode != "full":
+        b = b.filter("type <> 'thinking'" + (" and type <> 'tool_result'" if mode == "summary" else ""))
+    if mode == "summary":
+        b = b.withColumn("input", F.lit(""))
+    if mode == "code-focused":
+        code = F.array_join(F.regexp_extract_all("text", F.lit(r"(?s)```.*?```"), 0), "\n\n")
+        b = b.withColumn("text", F.when(code != "", code).otherwise(F.col("text")))
     tool = b.filter("type = 'tool_use'").groupBy("id").agg(F.min("name").alias("tool"))
     b = b.join(tool.withColumnRenamed("id", "_use"), F.col("tool_use_id") == F.col("_use"), "left")
     body = (
@@ -102,44 +116,54 @@ def split_text(text: str, most: int) -> list[str]:
     return refill([p for p in pieces if p.strip()])
 
 
-def pack_turns(rendered: list[tuple[int, str]], most: int = MAX_TOKENS) -> list[tuple[list[int], str]]:
-    """Greedy packing of (turn, text) into chunks of at most `most` tokens, measured on the joined text.
+def _pack_lengths(most: int):
+    """Greedy packing on lengths alone, over rows sorted by session and turn: only the open chunk is held."""
 
-    A turn above the limit is a chunk of its own, split; all its pieces carry the turn.
-    """
-    out: list[tuple[list[int], str]] = []
-    held: tuple[list[int], str] | None = None
-    for turn, text in rendered:
-        if tokens(text) > most:
-            if held:
-                out.append(held)
-            held = None
-            out += [([turn], p) for p in split_text(text, most)]
-        elif held and tokens(held[1] + "\n\n" + text) <= most:
-            held = ([*held[0], turn], held[1] + "\n\n" + text)
-        else:
-            if held:
-                out.append(held)
-            held = ([turn], text)
-    return out + ([held] if held else [])
+    def run(frames):
+        session, chunk, held = None, 0, None
+        for f in frames:
+            number, whole = np.zeros(len(f), np.int64), np.zeros(len(f), bool)
+            for i, (s, n) in enumerate(zip(f["session"], f["n"].tolist())):
+                if s != session:
+                    session, chunk, held = s, 0, None
+                fits = -int(-n // 3.5) <= most
+                together = held is not None and fits and -int(-(held + 2 + n) // 3.5) <= most
+                if held is not None and not together:
+                    chunk += 1
+                number[i], whole[i] = chunk, fits
+                held = (held + 2 + n if together else n) if fits else None
+                if not fits:
+                    chunk += 1
+            yield pd.DataFrame({"session": f["session"], "turn": f["turn"], "_chunk": number, "_whole": whole})
+
+    return run
 
 
 def chunk_turns(rendered: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """Chunks of each session: session, piece, turn_indices, text, approx_tokens.
+    """Chunks of each session: session, piece (from 0), turn_indices, text, approx_tokens.
 
-    Turns are packed in runs of 2,000, each one small group, so a chunk never joins the last turn of one run and the
-    first of the next.
+    Turns are packed greedily in order into chunks of at most `most` tokens, measured on the joined text; a turn above
+    the limit is split, and all its pieces carry the turn. What goes where depends on lengths only, so the sequential step
+    runs over (session, turn, length) in a stream, however long a session; texts are gathered chunk by chunk. Turns
+    without text are left out; a session without any has no chunks.
     """
-    r = rendered.filter("text is not null").withColumn("_run", F.floor(F.col("turn") / 2_000))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("turn")
-        got = pack_turns(list(zip(g["turn"].tolist(), g["text"].tolist())), most)
-        return pd.DataFrame({"session": g["session"].iloc[0], "_run": g["_run"].iloc[0], "_n": range(len(got)), "turn_indices": [t for t, _ in got], "text": [x for _, x in got], "approx_tokens": [tokens(x) for _, x in got]})
-
-    packed = r.select("session", "turn", "text", "_run").groupBy("session", "_run").applyInPandas(run, "session string, _run long, _n int, turn_indices array<int>, text string, approx_tokens int")
-    w = Window.partitionBy("session").orderBy("_run", "_n")
-    return packed.select("session", (F.row_number().over(w) - 1).alias("piece"), "turn_indices", "text", "approx_tokens")
+    r = rendered.filter("text is not null").select("session", "turn", "text")
+    sizes = r.select("session", "turn", F.length("text").alias("n")).repartition("session").sortWithinPartitions("session", "turn")
+    kind = dict(r.dtypes)
+    placed = materialise(sizes.mapInPandas(_pack_lengths(most), f"session {kind['session']}, turn {kind['turn']}, _chunk long, _whole boolean"), "packed")
+    j = r.join(placed, ["session", "turn"])
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    whole = j.filter("_whole").groupBy("session", "_chunk").agg(parts.alias("p"))
+    whole = whole.select("session", "_chunk", F.lit(0).alias("_n"), F.transform("p", lambda x: x["turn"].cast("int")).alias("turn_indices"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+
+    def cut(frames):
+        for f in frames:
+            rows = [(s, c, i, [t], p) for s, c, t, x in zip(f["session"], f["_chunk"], f["turn"], f["text"]) for i, p in enumerate(split_text(x, most))]
+            yield pd.DataFrame(rows, columns=["session", "_chunk", "_n", "turn_indices", "text"])
+
+    split = j.filter("not _whole").select("session", "_chunk", "turn", "text").mapInPandas(cut, f"session {kind['session']}, _chunk long, _n int, turn_indices array<int>, text string")
+    ranked = rank_within(whole.unionByName(split), ["session"], ["_chunk", "_n"], "piece")
+    return ranked.select("session", F.col("piece").cast("int").alias("piece"), "turn_indices", "text", F.ceil(F.length("text") / 3.5).cast("int").alias("approx_tokens"))
 
 
 def session_state(exchanges: DataFrame) -> DataFrame:

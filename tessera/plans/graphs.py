@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import graph as G
+from tessera.operators import vector_search as VS
 from tessera.operators.components import connected_components
 from tessera.plans.registry import Registry
 from tessera.plans.texts import _TRIM, _USER, q
-from tessera.runtime import key_of, read_table
+from tessera.runtime import broadcast_if_small, key_of, materialise, read_table
 from tessera.sources import store as S
 from tessera.sources.store import K
 from tessera.sources.store import prelude as P
@@ -95,6 +96,14 @@ def graph_degree(spark, d):
 _SEEDS = "sd AS (SELECT id FROM c WHERE id IN (SELECT src FROM fe) ORDER BY id LIMIT 5)"
 
 
+def _stated(spark, d):
+    """The stated query set of the measures over walks: the chunks whose id's hash is divisible by 50, linked or not."""
+    return S.chunks(spark, d).filter(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 50 == 0).select("id")
+
+
+_STATED_SEEDS = "sd AS (SELECT id FROM c WHERE CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 50 = 0)"
+
+
 def _seeds(spark, d, n=5):
     e = S.forward_edges(spark, d)
     return S.chunks(spark, d).select("id").join(e.select(F.col("src").alias("id")), "id", "left_semi").orderBy("id").limit(n)
@@ -104,16 +113,17 @@ def _seeds(spark, d, n=5):
 m AS (SELECT id, min(hop) AS hop FROM n GROUP BY 1) SELECT m.id, hop, (SELECT count(*) FROM b WHERE b.src = m.id AND b.dst IN (SELECT id FROM m)) AS degree FROM m""")
 def bfs_neighborhood(spark, d):
     """Everything within 3 hops of the seeds, with the degree inside."""
-    e = S.forward_edges(spark, d)
+    e = materialise(S.forward_edges(spark, d), "edges")
     n = G.neighbourhood(e, _seeds(spark, d), 3)
     both = e.select("src", "dst").union(e.select("dst", "src")).distinct()
-    inner = both.join(F.broadcast(n.select(F.col("id").alias("src"))), "src").join(F.broadcast(n.select(F.col("id").alias("dst"))), "dst", "left_semi")
+    n = materialise(n, "reached")
+    inner = both.join(broadcast_if_small(n.select(F.col("id").alias("src"))), "src").join(broadcast_if_small(n.select(F.col("id").alias("dst"))), "dst", "left_semi")
     deg = inner.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     return n.join(deg, "id", "left").select("id", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def _walk_sql(src: str, dst: str) -> str:
-    return f"""WITH RECURSIVE {P('fe')}, {_SEEDS}, w(seed, node, path) AS (SELECT id, id, [id] FROM sd UNION ALL SELECT w.seed, fe.{dst}, list_append(w.path, fe.{dst}) FROM w JOIN fe ON fe.{src} = w.node WHERE NOT list_contains(w.path, fe.{dst}) AND len(w.path) <= 5),
+def _walk_sql(src: str, dst: str, seeds: str = _SEEDS) -> str:
+    return f"""WITH RECURSIVE {P('fe')}, {seeds}, w(seed, node, path) AS (SELECT id, id, [id] FROM sd UNION ALL SELECT w.seed, fe.{dst}, list_append(w.path, fe.{dst}) FROM w JOIN fe ON fe.{src} = w.node WHERE NOT list_contains(w.path, fe.{dst}) AND len(w.path) <= 5),
 p AS (SELECT seed, path FROM w WHERE len(path) = 6 OR NOT EXISTS (SELECT 1 FROM fe WHERE fe.{src} = w.node AND NOT list_contains(w.path, fe.{dst})))"""
 
 
@@ -222,13 +232,27 @@ def precision_recall_lift(spark, d):
     return j.agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("bigram_hits"), F.round(F.avg("pop"), 6).alias("popular_hits"))
 
 
-@register(_walk_sql("src", "dst") + ", f AS (SELECT seed, count(DISTINCT x) AS n FROM (SELECT seed, unnest(path) AS x FROM p) GROUP BY 1) SELECT (SELECT count(*) FROM sd) AS n_seeds, round((SELECT sum(n) FROM f) / (SELECT count(*) FROM sd), 6) AS augmentation, round((SELECT avg(len(path)) FROM p), 6) AS mean_length")
+def _added_sql(a: str, b: str, name: str) -> str:
+    return f"""{name}(seed, node, path) AS (SELECT id, id, [id] FROM sd UNION ALL SELECT {name}.seed, fe.{b}, list_append({name}.path, fe.{b}) FROM {name} JOIN fe ON fe.{a} = {name}.node WHERE NOT list_contains({name}.path, fe.{b}) AND len({name}.path) <= 3)"""
+
+
+@register(f"""WITH RECURSIVE {P('fe', 'v')}, {_STATED_SEEDS}, {_added_sql('src', 'dst', 'fw')}, {_added_sql('dst', 'src', 'bw')},
+re AS (SELECT DISTINCT seed, node FROM (SELECT * FROM fw UNION ALL SELECT * FROM bw)),
+cs AS (SELECT sd.id AS seed, x.id, row_number() OVER (PARTITION BY sd.id ORDER BY round(acos(greatest(-1, least(1, list_cosine_similarity(q.embedding, x.embedding)))) / pi(), 6), x.id) AS r FROM sd JOIN v q ON q.id = sd.id JOIN v x ON x.id <> sd.id),
+nh AS (SELECT seed, id AS node FROM cs WHERE r <= 5),
+g AS (SELECT sd.id, (SELECT count(*) FROM nh WHERE nh.seed = sd.id) AS n_vector, (SELECT count(*) FROM re WHERE re.seed = sd.id AND re.node <> sd.id AND NOT EXISTS (SELECT 1 FROM nh WHERE nh.seed = sd.id AND nh.node = re.node)) AS n_added FROM sd)
+SELECT count(*) AS n_seeds, CAST(sum(n_vector) AS BIGINT) AS n_vector, CAST(sum(n_added) AS BIGINT) AS n_added, round(sum(n_vector + n_added) / nullif(sum(n_vector), 0), 6) AS augmentation FROM g""")
 def chain_augmentation(spark, d):
-    """How many chunks the walks reach per seed, and the mean path length."""
-    seeds = _seeds(spark, d)
-    p = G.walk_paths(S.forward_edges(spark, d), seeds, 5)
-    reach = p.select("seed", F.explode("path").alias("x")).distinct().agg(F.count("*").alias("n"))
-    return seeds.agg(F.count("*").alias("n_seeds")).join(reach).join(p.agg(F.round(F.avg(F.size("path")), 6).alias("mean_length"))).select("n_seeds", F.round(F.col("n") / F.col("n_seeds"), 6).alias("augmentation"), "mean_length")
+    """What walks of 3 links, forward and backward, add to the 5 nearest vectors, over the stated query set."""
+    seeds = materialise(_stated(spark, d), "stated")
+    e = materialise(S.forward_edges(spark, d), "edges")
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    walked = G.walk_paths(e, seeds, 3).unionByName(G.walk_paths(back, seeds, 3)).select("seed", F.explode("path").alias("id")).distinct().filter("id <> seed")
+    v = S.search_vectors(spark, d).select("id", "embedding")
+    near = materialise(VS.knn_join(v.join(broadcast_if_small(seeds), "id", "left_semi"), v, 5).select(F.col("qid").alias("seed"), "id"), "near")
+    added = walked.join(near, ["seed", "id"], "left_anti").agg(F.count("*").alias("n_added"))
+    out = seeds.agg(F.count("*").alias("n_seeds")).join(near.agg(F.count("*").alias("n_vector"))).join(added)
+    return out.select("n_seeds", "n_vector", "n_added", F.round(F.try_divide(F.col("n_vector") + F.col("n_added"), F.col("n_vector")), 6).alias("augmentation"))
 
 
 @register(f"WITH RECURSIVE {P('fe')}, b AS (SELECT src, dst FROM fe UNION SELECT dst, src FROM fe), r(node, other) AS (SELECT DISTINCT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.other = b.src) SELECT node, min(other) AS component FROM r GROUP BY 1")

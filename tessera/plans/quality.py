@@ -13,7 +13,7 @@ from tessera.operators import evaluation as E
 from tessera.operators import graph as G
 from tessera.operators import vector_search as VS
 from tessera.operators.ranking import rank_within
-from tessera.plans.graphs import _SEEDS, _seeds, _walk_sql
+from tessera.plans.graphs import _SEEDS, _STATED_SEEDS, _seeds, _stated, _walk_sql
 from tessera.plans.registry import Registry
 from tessera.plans.search import _ANG, _CEN, _E, _STATED, _embeddings
 from tessera.plans.texts import _JACCARD, _KEYS, _PATHS, _TRIM, _USER, q
@@ -237,9 +237,10 @@ def trend(spark, d):
     return m.select("month", "n_chunks", (F.col("n_chunks") - F.lag("n_chunks").over(w)).alias("chunks_delta"), F.round(F.col("t") - F.lag("t").over(w), 4).alias("tokens_delta"))
 
 
-@register(_walk_sql("src", "dst") + ", b AS (SELECT seed, max(len(path)) AS n FROM p GROUP BY 1) SELECT (SELECT count(*) FROM sd) AS n_seeds, round((SELECT avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END) FROM b), 6) AS coverage, round((SELECT avg(n) FROM b), 6) AS mean_longest")
+@register(_walk_sql("src", "dst", _STATED_SEEDS) + ", b AS (SELECT seed, max(len(path)) AS n FROM p GROUP BY 1) SELECT (SELECT count(*) FROM sd) AS n_seeds, round((SELECT avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END) FROM b), 6) AS coverage, round((SELECT avg(n) FROM b), 6) AS mean_longest")
 def chain_quality(spark, d):
-    seeds = _seeds(spark, d)
+    """How many of the stated queries have a chain, and how long the longest are."""
+    seeds = materialise(_stated(spark, d), "stated")
     b = G.walk_paths(S.forward_edges(spark, d), seeds, 5).groupBy("seed").agg(F.max(F.size("path")).alias("n"))
     return seeds.agg(F.count("*").alias("n_seeds")).join(b.agg(F.round(F.avg((F.col("n") >= 2).cast("double")), 6).alias("coverage"), F.round(F.avg("n"), 6).alias("mean_longest")))
 

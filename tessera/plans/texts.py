@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.ranking import rank_within
 from tessera.plans.registry import Registry
 from tessera.runtime import read_table
 from tessera.sources import store as S
@@ -145,8 +146,9 @@ def heuristic_entries(spark, d):
 
 @register(f"WITH {P('c')} SELECT id, row_number() OVER (ORDER BY md5(id || ':42'), id) AS place FROM c")
 def seeded_shuffle(spark, d):
-    """A reproducible shuffle: rows ordered by the hash of id and seed (a sort over all rows is the feature here)."""
-    return S.chunks(spark, d).select("id", F.row_number().over(Window.orderBy(F.md5(F.concat("id", F.lit(":42"))), "id")).cast("long").alias("place"))
+    """A reproducible shuffle: rows ranked by the hash of id and seed, by range partitions and offsets."""
+    rows = S.chunks(spark, d).select("id", F.md5(F.concat("id", F.lit(":42"))).alias("h"))
+    return rank_within(rows, [], ["h", "id"], "place").select("id", (F.col("place") + 1).alias("place"))
 
 
 _REFS = "the error|that error|this error|the bug|that bug|the issue|that issue|the output|that output|your suggestion|the fix|that function|the function|that file|the file|you mentioned|you showed|you said|as you said|like you said|earlier|previously|before|above".split("|")  # fixed values

@@ -58,7 +58,7 @@ def file_rank(spark, d):
 
 @register()
 def repo_map(spark, d):
-    """The definitions of the best files within a budget of 1,024 tokens."""
+    """The definitions of the best files within a budget of 1,024 tokens (each has one at least, so 1,024 are enough)."""
     t = R.ranked_definitions(R.tags(_snippets(spark, d), calls=True))
     top = t.orderBy(F.desc("score"), "file", "place").limit(1024)
     return retrieval.pack_prefix(top, None, [F.desc("score"), "file", "place"], "tokens", 1024, 0, 1).select("file", "name", "type", "line", "tokens")

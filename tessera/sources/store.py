@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import is_usable
 from tessera.operators.deliveries import first_deliveries
-from tessera.runtime import key_of, read_table, view
+from tessera.operators.ranking import rank_within
+from tessera.runtime import broadcast_if_small, key_of, materialise, read_table, view
 
 #: The embedding model that searches use, and its length.
 SEARCH_MODEL, SEARCH_DIM = "memo-embed-128", 128
@@ -60,19 +61,19 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
 def search_vectors(spark: SparkSession, d: str) -> DataFrame:
     """id and embedding (doubles) of the usable vectors of the search model, once per id."""
     v = read_table(spark, d, "vectors").filter(key_of("model_id") == SEARCH_MODEL).select(key_of("id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "last_accessed", "orphaned_at")
-    return v.filter("id is not null").filter(is_usable("embedding", SEARCH_DIM)).dropDuplicates(["id"])
+    return v.filter("id is not null").filter(is_usable("embedding", SEARCH_DIM)).groupBy("id").agg(F.min("embedding").alias("embedding"), F.min("last_accessed").alias("last_accessed"), F.min("orphaned_at").alias("orphaned_at"))
 
 
 @view
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     """The retrieval log, from the events: the number-th chunk in id order was returned by a tool at a time.
 
-    Events carry a user number; it is matched with the chunks numbered by id, so the log joins with the store.
+    Events carry numbers only; event and user number together point into all chunks numbered by id.
     """
-    w = Window.orderBy("id")
-    numbered = chunks(spark, d).select("id").filter("id is not null").orderBy("id").limit(1000).withColumn("n", F.row_number().over(w))
-    e = read_table(spark, d, "events").select((F.pmod("user_id", F.lit(500)) + 1).alias("n"), F.col("event_type").alias("tool_name"), F.col("ts").cast("timestamp").alias("returned_at"), "event_id")
-    return e.join(F.broadcast(numbered), "n").select(F.col("id").alias("chunk_id"), "tool_name", "returned_at", "event_id")
+    numbered = materialise(rank_within(chunks(spark, d).select("id").filter("id is not null"), [], ["id"], "n"), "numbered")
+    total = F.greatest(F.lit(1), F.lit(numbered.count()))
+    e = read_table(spark, d, "events").select(F.pmod(F.col("event_id") * 31 + F.col("user_id"), total).alias("n"), F.col("event_type").alias("tool_name"), F.col("ts").cast("timestamp").alias("returned_at"), "event_id")
+    return e.join(broadcast_if_small(numbered), "n").select(F.col("id").alias("chunk_id"), "tool_name", "returned_at", "event_id")
 
 
 K = "nullif(lower(trim({}, E' \\t\\n\\r')), '')"
@@ -88,7 +89,7 @@ _VIEWS = {
     "v": f"""SELECT {K.format('id')} AS id, min(CAST(embedding AS DOUBLE[])) AS embedding, min(last_accessed) AS last_accessed, min(orphaned_at) AS orphaned_at FROM vectors
         WHERE {K.format('model_id')} = '{SEARCH_MODEL}' AND {K.format('id')} IS NOT NULL AND len(embedding) = {SEARCH_DIM}
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1""",
-    "f": "SELECT n.id AS chunk_id, event_type AS tool_name, ts AS returned_at, event_id FROM events JOIN (SELECT id, row_number() OVER (ORDER BY id) AS n FROM c) n ON n.n = user_id % 500 + 1",
+    "f": "SELECT n.id AS chunk_id, event_type AS tool_name, ts AS returned_at, event_id FROM events JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM c) n ON n.n = (event_id * 31 + user_id) % (SELECT count(*) FROM c)",
 }
 _NEEDS = {"fe": ("c", "e"), "f": ("c",)}
 

@@ -262,14 +262,31 @@ def test_causal_edges(spark):
     assert {(r.src, r.dst) for r in G.causal_edges(df).collect()} == {("c1", "c2"), ("c4", "c5")}
 
 
-def test_turn_packing():
-    turn = [(i, "[User]\n" + "w" * 300) for i in range(5)]
-    got = T.pack_turns(turn, 200)
-    assert [t for t, _ in got] == [[0, 1], [2, 3], [4]] and all(T.tokens(x) <= 200 for _, x in got)
-    long = "[User]\n" + "a" * 500 + "\n\n[Assistant]\n" + "\n\n".join("b" * 200 for _ in range(5))
-    got = T.pack_turns([(0, long), (1, "z")], 200)
-    assert all(t == [0] for t, _ in got[:-1]) and got[-1] == ([1], "z") and all(T.tokens(x) <= 200 for _, x in got)
-    assert T.pack_turns([]) == []
+def test_greedy_packing(spark):
+    r = random.Random(2)
+    rows = []
+    for s in range(5):
+        for t in range(r.randrange(1, 60)):
+            rows.append((f"s{s}", t, "\n\n".join("x" * r.choice([1, 5, 30, 90]) for _ in range(r.choice([1, 1, 1, 8])))))
+    rows += [("long", 0, "\n\n".join(f"[User]\nword {i} " + "y" * 90 for i in range(30))), ("none", 0, None)]
+    want = []
+    for s in sorted({x[0] for x in rows}):
+        held, out = None, []
+        for _, t, text in sorted(x for x in rows if x[0] == s and x[2] is not None):
+            if T.tokens(text) > 40:
+                out += ([held] if held else []) + [([t], p) for p in T.split_text(text, 40)]
+                held = None
+            elif held and T.tokens(held[1] + "\n\n" + text) <= 40:
+                held = ([*held[0], t], held[1] + "\n\n" + text)
+            else:
+                out += [held] if held else []
+                held = ([t], text)
+        out += [held] if held else []
+        want += [(s, i, turns, text) for i, (turns, text) in enumerate(out)]
+    df = spark.createDataFrame(rows, "session string, turn int, text string").repartition(5)
+    got = sorted((x.session, x.piece, x.turn_indices, x.text) for x in T.chunk_turns(df, 40).collect())
+    assert got == want and any(len(w[2]) > 3 for w in want)
+    assert T.chunk_turns(df.limit(0)).count() == 0
 
 
 def test_hdbscan_shapes(spark):
