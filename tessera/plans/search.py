@@ -38,7 +38,7 @@ def _texts(spark, d):
 
 @register(f"WITH {P('c')}, {_bm25_sql('c', 'content', TERMS)} SELECT id, round(score, 6) AS score FROM kw ORDER BY score DESC, id LIMIT 20")
 def bm25(spark, d):
-    s = fulltext.bm25(_texts(spark, d), TERMS).select("id", F.round("score", 6).alias("score"))
+    s = S.keyword_index(spark, d).search({"q": TERMS}).select("id", F.round("score", 6).alias("score"))
     return s.orderBy(F.desc("score"), "id").limit(20)
 
 
@@ -51,7 +51,7 @@ def bm25_filtered(spark, d):
 
 @register(f"WITH {P('k')}, {_bm25_sql('k', 'description', ['trouble'])} SELECT id, round(score, 6) AS score FROM kw ORDER BY score DESC, id LIMIT 20")
 def bm25_entries(spark, d):
-    s = fulltext.bm25(S.clusters(spark, d).withColumn("text", F.col("description")), ["trouble"])
+    s = S.entry_index(spark, d).search({"q": ["trouble"]})
     return s.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
@@ -69,8 +69,7 @@ _MANY = {"q1": ["plan", "compare"], "q2": ["router"], "q3": ["trouble", "refuses
 @register(f"WITH {P('c')}, " + ", ".join(_bm25_sql("c", "content", t, n) for n, t in _MANY.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS qid, id, round(score, 6) AS score FROM {n}" for n in _MANY))
 def bm25_many(spark, d):
     """Many queries in one pass."""
-    q = spark.createDataFrame([(n, t) for n, ts in _MANY.items() for t in ts], "qid string, term string")
-    return fulltext.bm25_many(_texts(spark, d), q).select("qid", "id", F.round("score", 6).alias("score"))
+    return S.keyword_index(spark, d).search(_MANY).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 def _query_vector(vectors, id_column: str = "id") -> list[float]:
@@ -222,7 +221,7 @@ def _lists(spark, d):
     v = S.search_vectors(spark, d)
     ids = S.chunks(spark, d).select("id")
     vec = VS.distances(v.join(ids, "id", "left_semi"), _query_vector(v)).select("id", F.round(1 - F.col("distance"), 6).alias("score"))
-    kw = fulltext.bm25(_texts(spark, d), TERMS).select("id", F.round("score", 6).alias("score"))
+    kw = S.keyword_index(spark, d).search({"q": TERMS}).select("id", F.round("score", 6).alias("score"))
     return retrieval.ranked(vec, "vector", 20).unionByName(retrieval.ranked(kw, "keyword", 20))
 
 

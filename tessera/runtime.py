@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import hashlib
 import os
 import re
 import tempfile
@@ -91,6 +92,44 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _version_of(spark: SparkSession, path: str) -> str:
+    """What tells whether a table has changed: name, length and time of its files."""
+    p, fs = _file_system(spark, path)
+    if not fs.exists(p):
+        return f"{path} none"
+    files, out = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(out))
+
+
+def stored(spark: SparkSession, name: str, source: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    """A derived table kept in the shared work folder for as long as the files of its source table stay the same.
+
+    `build()` gives it where it is not there yet. It is written beside its place and then renamed, so an unfinished one is
+    never read; of two writers one wins and both tables are equal.
+    """
+    key = hashlib.sha256(f"{name}\n{_version_of(spark, source)}".encode()).hexdigest()[:24]
+    path = os.path.join(work_dir(spark), "tessera", "stored", f"{name}-{key}")
+    p, fs = _file_system(spark, path)
+    if not fs.exists(p):
+        side = f"{path}.{uuid.uuid4().hex}"
+        w = build().write.option("compression", "zstd")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(side)
+        moved, _ = _file_system(spark, side)
+        if not fs.rename(moved, p) and not fs.exists(p):
+            raise OSError(f"cannot move {side} to {path}")
+        _drop_path(spark, side)
+    return spark.read.parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import is_usable
+from tessera.operators import fulltext
 from tessera.operators.deliveries import first_deliveries
 from tessera.operators.ranking import rank_within
 from tessera.runtime import broadcast_if_small, key_of, materialise, read_table, view
@@ -20,7 +21,7 @@ SEARCH_MODEL, SEARCH_DIM = "memo-embed-128", 128
 @view
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk id (the first stored); approx_tokens is recomputed as ceil(characters / 3.5)."""
-    rows = first_deliveries(read_table(spark, d, "chunks"), key_of("id"), "created_at")
+    rows = first_deliveries(read_table(spark, d, "chunks"), key_of("id"), "created_at", f"{d}/chunks.parquet")
     return rows.select(
         F.col("key").alias("id"), key_of("session_id").alias("session_id"), "session_slug", "turn_indices", "start_time", "end_time", "content",
         "code_block_count", "tool_use_count", F.ceil(F.length(F.coalesce("content", F.lit(""))) / 3.5).cast("int").alias("approx_tokens"), "created_at", "agent_id", "spawn_depth", "project_path", "team_name",
@@ -64,6 +65,18 @@ def search_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.filter("id is not null").filter(is_usable("embedding", SEARCH_DIM)).groupBy("id").agg(F.min("embedding").alias("embedding"), F.min("last_accessed").alias("last_accessed"), F.min("orphaned_at").alias("orphaned_at"))
 
 
+@view
+def keyword_index(spark: SparkSession, d: str) -> fulltext.Index:
+    """The keyword index of the chunks' contents, stored until the table changes."""
+    return fulltext.Index.stored(spark, "chunks", f"{d}/chunks.parquet", lambda: chunks(spark, d).select("id", F.col("content").alias("text")))
+
+
+@view
+def entry_index(spark: SparkSession, d: str) -> fulltext.Index:
+    """The keyword index of the clusters' descriptions."""
+    return fulltext.Index.stored(spark, "clusters", f"{d}/clusters.parquet", lambda: clusters(spark, d).select("id", F.col("description").alias("text")))
+
+
 @view
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     """The retrieval log, from the events: the number-th chunk in id order was returned by a tool at a time.
