@@ -11,9 +11,6 @@ from tessera import runtime
 from tessera.functions.text import words
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Folders that postings are spread over by the hash of their term; a search reads one for each of its terms.
-BUCKETS = 64
-
 
 def _equals(term: str):
     return lambda x: x == F.lit(term)
@@ -65,48 +62,45 @@ def bm25_many(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """An inverted index: `postings` (term, id, tf, dl, bucket), in folders by bucket and sorted by term within files, and
-    `sizes` (n, av: the documents and their mean length, one row)."""
+    """An inverted index: `postings` (term, id, tf, dl, df), in files of successive terms (a search reads those whose
+    statistics hold its terms), and the number and mean length of all documents."""
 
     postings: DataFrame
-    sizes: DataFrame
+    n: int
+    mean: float
 
     @staticmethod
     def stored(spark: SparkSession, name: str, source: str, docs, tokens=words) -> Index:
         """The index of `docs()` (`id, text`), built where `source` has changed since."""
 
+        def cut() -> DataFrame:
+            return docs().select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
+
         def postings() -> DataFrame:
-            w = docs().select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
-            p = w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-            bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-            return p.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+            p = cut().select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+            p = runtime.materialise(p, "postings")
+            df = p.groupBy("term").agg(F.count("*").alias("df"))
+            # terms in ranges, a common one over several of them
+            return p.join(runtime.broadcast_if_small(df), "term").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
         def sizes() -> DataFrame:
-            return docs().select(F.size(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("av"))
-
-        return Index(runtime.stored(spark, f"postings-{name}", source, postings, ["bucket"]), runtime.stored(spark, f"sizes-{name}", source, sizes))
+            return cut().select(F.size("w").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("av"))
 
-    def _some(self, terms: list[str]) -> DataFrame:
-        here = F.lit(False)
-        for t in terms:  # folded to numbers by the optimizer, so only these folders are listed
-            here = here | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).cast("int"))
-        return self.postings.filter(here & F.col("term").isin(*terms))
+        r = runtime.stored(spark, f"sizes-{name}", source, sizes).first()
+        return Index(runtime.stored(spark, f"postings-{name}", source, postings), r.n, r.av)
 
     def search(self, queries: dict[str, list[str]]) -> DataFrame:
         """qid, id and score of the documents that hold every term of a query; a query without terms finds nothing.
 
-        Only the folders of the terms are read. Document frequencies are those of the whole index; what a caller narrows
-        the hits by comes after.
+        Document frequencies are those of the whole index; what a caller narrows the hits by comes after.
         """
-        spark = self.postings.sparkSession
-        asked = [(q, t) for q, ts in queries.items() for t in dict.fromkeys(x.lower() for x in ts)]
-        if not asked:
-            return spark.createDataFrame([], "qid string, id string, score double")
-        tf = self._some(sorted({t for _, t in asked}))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        q = spark.createDataFrame(asked, "qid string, term string")
-        need = q.groupBy("qid").agg(F.count("*").alias("need"))
-        j = tf.join(F.broadcast(df), "term").join(F.broadcast(self.sizes)).join(F.broadcast(q), "term")  # a row a term each
-        idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("av")))
-        return j.groupBy("qid", "id").agg(F.sum(part).alias("score"), F.count("*").alias("have")).join(F.broadcast(need), "qid").filter("have = need").select("qid", "id", "score")
+        need = {q: list(dict.fromkeys(x.lower() for x in ts)) for q, ts in queries.items()}
+        terms = sorted({t for ts in need.values() for t in ts})
+        if not terms:
+            return self.postings.sparkSession.createDataFrame([], f"qid string, id {dict(self.postings.dtypes)['id']}, score double")
+        tf, df = F.col("tf"), F.col("df")
+        idf = F.greatest(F.ln((F.lit(self.n) - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(self.mean)))
+        asking = [F.when(F.col("term").isin(*ts), F.struct(F.lit(q).alias("qid"), F.lit(len(ts)).alias("need"))) for q, ts in need.items() if ts]
+        hits = self.postings.filter(F.col("term").isin(*terms)).select("id", part.alias("part"), F.explode(F.array_compact(F.array(*asking))).alias("q"))
+        return hits.groupBy("q.qid", "q.need", "id").agg(F.sum("part").alias("score"), F.count("*").alias("have")).filter("have = need").select("qid", "id", "score")

@@ -110,13 +110,17 @@ def _version_of(spark: SparkSession, path: str) -> str:
     return "\n".join(sorted(out))
 
 
+#: Part of the name of every stored table: to be raised when what is stored is built otherwise.
+LAYOUT = 2
+
+
 def stored(spark: SparkSession, name: str, source: str, build, partition_by: list[str] | None = None) -> DataFrame:
     """A derived table kept in the shared work folder for as long as the files of its source table stay the same.
 
     `build()` gives it where it is not there yet. It is written beside its place and then renamed, so an unfinished one is
     never read; of two writers one wins and both tables are equal.
     """
-    key = hashlib.sha256(f"{name}\n{_version_of(spark, source)}".encode()).hexdigest()[:24]
+    key = hashlib.sha256(f"{LAYOUT}\n{name}\n{_version_of(spark, source)}".encode()).hexdigest()[:24]
     path = os.path.join(work_dir(spark), "tessera", "stored", f"{name}-{key}")
     p, fs = _file_system(spark, path)
     if not fs.exists(p):

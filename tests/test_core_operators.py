@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.functions.porter import stem
+from tessera.operators import fulltext
 from tessera.operators import clustering as C
 from tessera.operators.block_search import numbered
 from tessera.operators import decay as D
@@ -387,3 +388,21 @@ def test_nearest_in_time(spark):
     e = spark.createDataFrame([("k", 1, "2024-01-01 00:00:10"), ("k", 2, "2024-01-01 01:00:00"), ("j", 3, "2024-01-01 00:00:10")], "u string, event_id int, at string").withColumn("at", F.to_timestamp("at"))
     t = spark.createDataFrame([("k", 7, "2024-01-01 00:00:05"), ("k", 8, "2024-01-01 00:00:15"), ("k", 9, "2024-01-01 00:00:21")], "u string, target_id int, at string").withColumn("at", F.to_timestamp("at"))
     assert [(r.event_id, r.target_id, r.away_ms) for r in L.nearest_in_time(e, t, ["u"], 10).collect()] == [(1, 7, 5000)]
+
+
+def test_stored_index_equals_a_scan(spark, tmp_path):
+    r = random.Random(9)
+    docs = [(f"d{i:02d}", " ".join(r.choices(["plan", "Compare", "the", "router", "x"], k=r.randrange(0, 12))) if r.random() < 0.9 else None) for i in range(60)]
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame(docs, "id string, text string").write.parquet(path)
+    get = lambda: fulltext.Index.stored(spark, "test", path, lambda: spark.read.parquet(path))
+    t = spark.read.parquet(path)
+    for terms in (["plan"], ["PLAN", "compare", "plan"], ["none"], []):
+        want = {x.id: round(x.score, 9) for x in fulltext.bm25(t, terms).collect()}
+        assert {x.id: round(x.score, 9) for x in get().search({"q": terms}).collect()} == want
+    both = get().search({"a": ["plan"], "b": ["plan", "router"], "c": []}).collect()
+    assert {x.qid for x in both} == {"a", "b"}
+    spark.createDataFrame([("new", "plan")], "id string, text string").write.mode("append").parquet(path)
+    assert "new" in {x.id for x in get().search({"q": ["plan"]}).collect()}  # a changed table is indexed anew
+    spark.createDataFrame([], "id string, text string").write.mode("overwrite").parquet(path)
+    assert get().search({"q": ["plan"]}).count() == 0
