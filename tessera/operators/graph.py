@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +48,6 @@ def materialise_edges(links: DataFrame, reference_type: str) -> DataFrame:
     return links.select(F.concat(F.lit("edge-"), X.short_hash(F.concat_ws(":", "src", "dst", F.lit(reference_type)), 16)).alias("id"), "src", "dst", F.lit("forward").alias("edge_type"), F.lit(reference_type).alias("reference_type"), F.lit(WEIGHTS.get(reference_type, 1.0)).alias("weight"), F.lit(1).alias("link_count"))
 
 
-def pair_edges(groups: DataFrame) -> DataFrame:
-    """Every (source, target) of two bounded id arrays per row, as team edges have it."""
-    return groups.select(F.explode("sources").alias("src"), "targets").select("src", F.explode("targets").alias("dst")).filter("src <> dst").distinct()
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """Undirected degree of every node."""
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).groupBy("id").agg(F.count("*").alias("degree"))
@@ -103,6 +99,92 @@ def walk_paths(edges: DataFrame, seeds: DataFrame, depth: int, nodes: DataFrame
     return open_.select("seed", "path") if done is None else done.unionByName(open_.select("seed", "path"))
 
 
+def _chains(budget: int, depth: int, agent: str | None, skips: int, candidates: int, expansions: int):
+    """The depth-first walk of one seed over what is known of its neighbourhood (see `walk_chains`)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        seed = g["seed"].iloc[0]
+        known = {r.id: r for r in g.itertuples()}
+        out, path, visited, spent = [], [], {seed}, 0
+
+        def emit():
+            if path:
+                scores = sorted(known[i].score for i in path)
+                m = len(scores) // 2
+                median = scores[m] if len(scores) % 2 else (scores[m - 1] + scores[m]) / 2
+                out.append((seed, len(out), list(path), float(sum(scores)), int(sum(known[i].tokens for i in path)), float(median)))
+
+        def walk(at, deep, skipped):
+            nonlocal spent
+            spent += 1
+            if spent > expansions or len(out) >= candidates:
+                return
+            ahead = [n for n in known[at].dsts if n not in visited]
+            if not ahead or deep >= depth:
+                emit()
+                return
+            ended = False
+            for n in ahead:
+                if spent > expansions or len(out) >= candidates:
+                    return
+                node = known.get(n)
+                if node is None:  # no such chunk
+                    continue
+                visited.add(n)
+                other = agent is not None and node.agent != agent
+                if other or node.tokens > budget:  # passed through, but no part of the chain
+                    if not other or skipped + 1 <= skips:
+                        before = len(out)
+                        walk(n, deep + 1, skipped + 1 if other else 0)
+                        ended |= len(out) > before
+                elif path and sum(known[i].tokens for i in path) + node.tokens > budget:
+                    emit()
+                    ended = True
+                else:
+                    path.append(n)
+                    walk(n, deep + 1, 0)
+                    ended = True
+                    path.pop()
+                visited.discard(n)
+            if not ended:
+                emit()
+
+        if known[seed].tokens <= budget:
+            path.append(seed)
+        walk(seed, 1, 0)
+        if not out:
+            emit()
+        return pd.DataFrame(out, columns=["seed", "place", "path", "score", "tokens", "median"])
+
+    return run
+
+
+def walk_chains(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, budget: int, depth: int = 50, agent: str | None = None, skips: int = 5, candidates: int = 10, expansions: int = 200) -> DataFrame:
+    """Candidate chains of each seed (`id`) by a depth-first walk: seed, place, path, score, tokens, median.
+
+    edges: `src, dst`, taken in the order of dst; nodes: `id, tokens, agent, score` (0 tokens or null count as 100, a null
+    score as 0). A path holds no node twice. It ends at a dead end, after `depth` nodes, or where the next node would
+    exceed the budget; nodes of another agent (at most `skips` in a row) and nodes larger than the whole budget are
+    passed through without being part of it. A seed ends after `candidates` chains or `expansions` steps. Seeds that are no
+    node have no chains. Neighbourhoods are gathered level by level as joins; the walk of a seed is one small group.
+    """
+    n = nodes.select("id", F.when(F.coalesce("tokens", F.lit(0)) == 0, 100).otherwise(F.col("tokens")).cast("long").alias("tokens"), "agent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    ahead = edges.filter("src <> dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("dsts"))
+    adjacency = materialise(n.join(ahead, "id", "left").withColumn("dsts", F.coalesce("dsts", F.array().cast("array<string>"))), "adjacency")
+    front = materialise(seeds.select(F.col("id").alias("seed"), "id").distinct(), "front")
+    seen = None
+    # a node further away than steps allow is never reached
+    for _ in range(min(depth, expansions) + 1):
+        here = materialise(adjacency.join(broadcast_if_small(front), "id").select("seed", "id", "tokens", "agent", "score", "dsts"), "here")
+        seen = here if seen is None else seen.unionByName(here)
+        step = here.select("seed", F.explode("dsts").alias("id")).distinct()
+        front = materialise(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+    whole = seen.join(seen.filter("seed = id").select("seed"), "seed", "left_semi")
+    return whole.groupBy("seed").applyInPandas(_chains(budget, depth, agent, skips, candidates, expansions), "seed string, place int, path array<string>, score double, tokens long, median double")
+
+
 def best_paths(paths: DataFrame, scores: DataFrame) -> DataFrame:
     """Per seed the path of at least two nodes with the highest median node score (nodes without one score 0).
 

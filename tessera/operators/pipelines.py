@@ -25,7 +25,12 @@ def ingest(messages: DataFrame, most_tokens: int = T.MAX_TOKENS) -> dict[str, Da
 
     Ids are hashes of what they name, so ingesting the same messages again gives the same rows.
     """
-    numbered = materialise(T.turns(messages), "turns")
+    return ingest_turns(materialise(T.turns(messages), "turns"), most_tokens)
+
+
+def ingest_turns(numbered: DataFrame, most_tokens: int = T.MAX_TOKENS, link_sessions: bool = True) -> dict[str, DataFrame]:
+    """As `ingest`, from messages that have their `turn` already; `link_sessions` links resumed sessions to the one before."""
+    messages = numbered
     rendered = materialise(T.rendered_turns(numbered), "rendered")
     packed = T.chunk_turns(rendered, most_tokens)
     span = rendered.select("session", "turn", "started", "ended")
@@ -37,9 +42,12 @@ def ingest(messages: DataFrame, most_tokens: int = T.MAX_TOKENS) -> dict[str, Da
         F.col("session").alias("session_id"), "session_slug", "turn_indices", "start_time", "end_time", F.col("text").alias("content"), "approx_tokens", X.code_blocks(F.col("text")).alias("code_block_count"),
     )
     chunks = materialise(chunks, "chunks")
+    edges = G.materialise_edges(G.causal_edges(chunks), "within-chain")
+    if link_sessions:
+        edges = edges.unionByName(G.materialise_edges(G.session_links(chunks, only_resumed=True), "cross-session"))
     return {
         "chunks": chunks,
-        "edges": G.materialise_edges(G.causal_edges(chunks), "within-chain").unionByName(G.materialise_edges(G.session_links(chunks, only_resumed=True), "cross-session")),
+        "edges": edges,
         "entities": chunks.select("id", F.explode(X.entities(X.relevant_text(F.col("content")))).alias("e")).select("id", "e.*"),
         "states": T.session_state(T.tool_exchanges(messages)),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import graph as G
+from tessera.operators import teams as TE
 from tessera.operators import vector_search as VS
 from tessera.operators.components import connected_components
 from tessera.plans.registry import Registry
@@ -79,13 +80,12 @@ def team_topology(spark, d):
     return c.groupBy("team_name", "session_id").agg(F.countDistinct("agent_id").alias("n_agents"), F.count("*").alias("n_chunks"), F.min_by("id", F.struct("start_time", "id")).alias("first_id"))
 
 
-@register(f"""WITH {P('c')}, m AS (SELECT session_id, team_name, id FROM c WHERE team_name IS NOT NULL AND agent_id IS NOT NULL), l AS (SELECT session_id, team_name, id FROM c WHERE team_name IS NOT NULL AND agent_id IS NULL)
-SELECT DISTINCT l.id AS src, m.id AS dst, 0.9::DOUBLE AS weight FROM m JOIN l USING (session_id, team_name)""")
+@register(f"""WITH {P('c')}, l AS (SELECT session_id, id, start_time FROM c WHERE agent_id IS NULL), f AS (SELECT session_id, agent_id, min(start_time) AS t, arg_min(id, (start_time, id)) AS dst FROM c WHERE agent_id IS NOT NULL AND session_id IS NOT NULL GROUP BY 1, 2)
+SELECT f.session_id, agent_id, arg_max(l.id, (l.start_time, l.id)) AS src, dst, 0.9::DOUBLE AS weight FROM f JOIN l ON f.session_id = l.session_id AND l.start_time <= t GROUP BY 1, 2, 4""")
 def team_edges(spark, d):
-    """Spawn edges of teams: every lead chunk to every member chunk of one team and session (bounded id arrays)."""
-    c = S.chunks(spark, d).filter("team_name is not null and session_id is not null")
-    g = c.groupBy("session_id", "team_name").agg(F.collect_list(F.when(F.col("agent_id").isNull(), F.col("id"))).alias("sources"), F.collect_list(F.when(F.col("agent_id").isNotNull(), F.col("id"))).alias("targets"))
-    return G.pair_edges(g).select("src", "dst", F.lit(G.WEIGHTS["team-spawn"]).alias("weight"))
+    """Spawn edges as far as stored chunks tell: the lead's last chunk before an agent's first one, to that."""
+    c = S.chunks(spark, d).filter("session_id is not null").select(F.col("session_id").alias("session"), F.col("agent_id").alias("agent"), "id", F.col("start_time").alias("start"))
+    return TE.first_contacts(c).select(F.col("session").alias("session_id"), F.col("agent").alias("agent_id"), "src", "dst", F.lit(G.WEIGHTS["team-spawn"]).alias("weight"))
 
 
 @register(f"WITH {P('e')} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")
@@ -160,11 +160,20 @@ def best_chain(spark, d):
     return best.withColumn("median", F.round("median", 6))
 
 
-@register()
+@register(f"""WITH RECURSIVE {P('fe')}, {_SEEDS}, w(seed, node, path) AS (SELECT id, id, [id] FROM sd UNION ALL SELECT seed, nx, list_append(path, nx) FROM (SELECT seed, path, (SELECT min(dst) FROM fe WHERE src = w.node AND NOT list_contains(w.path, dst)) AS nx FROM w WHERE len(path) <= 20) WHERE nx IS NOT NULL)
+SELECT seed, arg_max(path, len(path)) AS path FROM w GROUP BY seed""")
 def structural_walk(spark, d):
     return G.first_walk(S.forward_edges(spark, d), _seeds(spark, d), 20)
 
 
+@register()
+def chain_candidates(spark, d):
+    """Candidate chains of the stated queries by depth-first walks with all their limits: a budget of 2,000 tokens, larger
+    chunks and those of sub-agents passed through."""
+    n = S.chunks(spark, d).select("id", F.col("approx_tokens").alias("tokens"), F.coalesce("agent_id", F.lit("main")).alias("agent"), F.lit(0.0).alias("score"))
+    return G.walk_chains(S.forward_edges(spark, d), n, _stated(spark, d), 2000, agent="main")
+
+
 @register(f"WITH {P('fe', 'k')}, dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM fe UNION ALL SELECT dst FROM fe) GROUP BY 1), x AS (SELECT DISTINCT lower(trim(unnest(exemplar_ids), E' \\t\\n\\r')) AS id FROM k) SELECT dg.id, degree, dg.id IN (SELECT id FROM x WHERE id <> '') AS exemplar FROM dg ORDER BY exemplar DESC, degree DESC, dg.id LIMIT 100")
 def sampled_graph(spark, d):
     """The 100 most important nodes: exemplars first, then by degree."""

@@ -153,7 +153,7 @@ def _streamed(spark, d, shape, key):
     read_table(spark, d, "events").repartition(4).write.parquet(src)
     stream = shape(feeds.event_stream(spark, src, watermark="3650 days", files_per_trigger=2))
     feeds.run_once(stream, os.path.join(base, "checkpoint"), feeds.upsert_into(os.path.join(base, "table"), key, "batch"))
-    return spark.read.parquet(os.path.join(base, "table")).drop("batch")
+    return spark.read.parquet(os.path.join(base, "table")).drop("batch", "folder")
 
 
 @register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -163,6 +163,28 @@ def stream_tumbling(spark, d):
     return t.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@register("WITH r AS (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), s AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - before >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM r) SELECT user_id, time_bucket(INTERVAL 1 MICROSECOND, min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, run")
+def stream_sessions(spark, d):
+    """30-minute sessions by a stream in event-time order of its files: a session is given once, when the watermark (an
+    hour) has passed its end; what is still open at the end of the input is closed by a row far ahead."""
+    base = os.path.join(work_dir(spark), "tessera", f"stream-{uuid.uuid4().hex}")
+    src = os.path.join(base, "in")
+    e = read_table(spark, d, "events")
+    last = e.agg(F.max("ts").alias("t")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("t") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"))
+    e.select("event_id", "ts", "user_id").repartitionByRange(4, "ts").write.parquet(src)
+    last.coalesce(1).write.mode("append").parquet(src)
+    stream = feeds.session_counts(feeds.event_stream(spark, src, "1 hour", "event_id long, ts timestamp_ntz, user_id long"), "30 minutes")
+    feeds.run_once(stream, os.path.join(base, "checkpoint"), feeds.append_into(os.path.join(base, "table")), mode="append")
+    return spark.read.parquet(os.path.join(base, "table")).filter("user_id >= 0").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@register("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type, CAST(ts AS DATE))")
+def events_rollup(spark, d):
+    """Counts and sums by type and day, by type, and of all."""
+    e = read_table(spark, d, "events").select("event_type", F.col("ts").cast("date").alias("day"), "value")
+    return e.rollup("event_type", "day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @register("SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) t(k) GROUP BY 1, 2")
 def stream_sliding(spark, d):
     return _streamed(spark, d, lambda s: feeds.windowed_counts(s, "1 hour", "30 minutes"), ["start", "event_type"]).select("start", "event_type", "n")

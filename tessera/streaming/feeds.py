@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.lookups import upsert
+from tessera.runtime import materialise
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -42,19 +43,35 @@ def run_once(stream: DataFrame, checkpoint: str, each_batch, mode: str = "update
     return q
 
 
+#: Folders that an upserted table is kept in, by the hash of the key; a batch rewrites those it touches.
+FOLDERS = 16
+
+
 def upsert_into(path: str, key: list[str], version: str):
-    """A batch writer that replaces rows by key: the new table is written beside the old one, then takes its place."""
+    """A batch writer that inserts or replaces rows by key in a table of FOLDERS folders (`folder=N`).
+
+    Only the folders that a batch touches are read, merged and replaced. A merged folder is first written whole beside the
+    table; replacing is what may be repeated: a batch that was broken off comes again with the same number, and merging
+    it twice changes nothing.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        b = batch.withColumn(version, F.lit(n).cast("long"))
-        if fs.exists(fs_path):
-            b = upsert(spark.read.parquet(path), b, key, version)
-        side = f"{path}.{n}"
-        b.write.mode("overwrite").parquet(side)
-        fs.delete(fs_path, True)
-        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(side), fs_path)
+        b = batch.withColumn(version, F.lit(n).cast("long")).withColumn("folder", F.pmod(F.xxhash64(*key), F.lit(FOLDERS)).cast("int"))
+        b = materialise(b, "batch")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+            touched = [r.folder for r in b.select("folder").distinct().collect()]  # FOLDERS at most
+            b = materialise(upsert(spark.read.parquet(path).filter(F.col("folder").isin(*touched)), b, key, version), "merged")
+        b.repartition("folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
+
+    return write
+
+
+def append_into(path: str):
+    """A batch writer for logs (retrieval feedback, say): a folder per batch, overwritten if the batch comes again."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return write
