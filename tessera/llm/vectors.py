@@ -32,7 +32,7 @@ from tessera.runtime import broadcast_if_small, key_of, materialise
 
 #: Vectors per model that the codebooks are fitted on at most, entries per cell aimed at, and codewords at most (with more
 #: than about ten million vectors of a model cells grow instead).
-SAMPLE, PER_CELL, MOST_WORDS = 40_000, 12, 1024
+SAMPLE, PER_CELL, MOST_WORDS = 40_000, 32, 1024
 #: Entries that the first visit of a query covers at least.
 FIRST = 2048
 #: Entries, and queries, of one task at most (on average of a random split).
