@@ -207,3 +207,13 @@ def entities(text: Column) -> Column:
     )
     key = lambda e: F.concat(e["entity_type"], F.lit(":"), e["name"])
     return F.filter(every, lambda e, i: F.array_position(F.transform(every, key), key(e)) == i + 1)
+
+
+def lcg_shuffle(items: list, seed: int) -> list:
+    """A reproducible shuffle of a short list on the driver: Fisher-Yates from the end, with the generator below."""
+    out, state = list(items), seed
+    for i in range(len(out) - 1, 0, -1):
+        state = (1664525 * state + 1013904223) % 2**31  # fixed values
+        j = state * (i + 1) // 2**31
+        out[i], out[j] = out[j], out[i]
+    return out

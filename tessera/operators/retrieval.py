@@ -148,3 +148,8 @@ def rerank_mmr(candidates: DataFrame, budget: int | None = None, lam: float = MM
 
     kind = dict(candidates.dtypes)
     return candidates.groupBy("qid").applyInPandas(run, f"qid {kind['qid']}, id {kind['id']}, score double, tokens int, place int")
+
+
+def rerank_with(hits: DataFrame, scorer) -> DataFrame:
+    """The hits (`id, score`) with the scores that `scorer` (hits -> `id, score`) gives instead; null where it gives none."""
+    return hits.drop("score").join(scorer(hits).select("id", "score"), "id", "left")

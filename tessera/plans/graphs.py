@@ -12,7 +12,7 @@ from tessera.operators import teams as TE
 from tessera.operators import vector_search as VS
 from tessera.operators.components import connected_components
 from tessera.plans.registry import Registry
-from tessera.plans.texts import _TRIM, _USER, q
+from tessera.plans.texts import _TRIM, _USER, PLANTED_SQL, planted, q
 from tessera.runtime import broadcast_if_small, key_of, materialise, read_table
 from tessera.sources import store as S
 from tessera.sources.store import K
@@ -54,6 +54,11 @@ def resumed_session_edges(spark, d):
     return G.session_links(S.chunks(spark, d), only_resumed=True)
 
 
+@register(f"WITH {PLANTED_SQL}, {_ENDS} SELECT src, dst FROM sl WHERE src IS NOT NULL AND resumed")
+def resumed_session_edges_planted(spark, d):
+    return G.session_links(planted(spark, d), only_resumed=True)
+
+
 _LINES = f"l AS (SELECT {K.format('uuid')} AS uuid, min({K.format('parentUuid')}) AS parent, min({K.format('sessionId')}) AS session, min(agentId) AS agent, min(ingested_at) AS ing FROM sample_session WHERE {K.format('uuid')} IS NOT NULL GROUP BY 1)"
 
 

@@ -11,13 +11,14 @@ from tessera.operators import clustering as C
 from tessera.operators import decay as D
 from tessera.operators import evaluation as E
 from tessera.operators import graph as G
+from tessera.operators import tuning as TU
 from tessera.operators import vector_search as VS
 from tessera.operators.ranking import rank_within
 from tessera.plans.graphs import _SEEDS, _STATED_SEEDS, _seeds, _stated, _walk_sql
 from tessera.plans.registry import Registry
 from tessera.plans.search import _ANG, _CEN, _E, _STATED, _embeddings
 from tessera.plans.texts import _JACCARD, _KEYS, _PATHS, _TRIM, _USER, q
-from tessera.runtime import materialise, read_table
+from tessera.runtime import broadcast_if_small, materialise, read_table
 from tessera.sources import store as S
 from tessera.sources.store import prelude as P
 
@@ -220,13 +221,51 @@ def overall_score(spark, d):
     return h.select(F.round(health, 4).alias("health"), parts["latency"].alias("latency"), F.round(E.overall_score(parts), 4).alias("overall"))
 
 
-@register(f"WITH {P('c', 'e', 'a')}, {_HEALTH} SELECT metric, priority FROM (SELECT 'cluster coverage' AS metric, 'high' AS priority, n_clustered / n_chunks < 0.7 AS hit FROM h UNION ALL SELECT 'orphan chunks', 'high', n_orphans / n_chunks > 0.3 FROM h UNION ALL SELECT 'sparse edges', 'high', n_edges / n_chunks < 1 FROM h UNION ALL SELECT 'coverage far below target', 'medium', n_clustered / n_chunks < 0.9 FROM h) WHERE hit")
+_FIG = """fg AS (SELECT n_chunks, n_edges, (SELECT count(*) FROM k) AS n_clusters, (SELECT count(*) FROM e WHERE reference_type = 'within-chain') AS n_within_chain, n_clustered / n_chunks AS cluster_coverage, n_orphans / n_chunks AS orphan_share, n_edges / n_chunks AS edges_per_chunk,
+(SELECT median(n) FROM (SELECT count(*) AS n FROM c GROUP BY session_id)) AS median_session_size, """ + ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in TU.FIGURES if n not in "n_chunks n_edges n_clusters n_within_chain cluster_coverage orphan_share edges_per_chunk median_session_size".split()) + " FROM h)"
+
+
+@register(f"WITH {P('c', 'e', 'a', 'k')}, {_HEALTH}, {_FIG} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, '{t}' AS setting, '{p}' AS priority FROM fg WHERE {c}" for m, t, p, c in TU.RULES))
 def tuning_recommendations(spark, d):
-    """Rules over the health figures, one row for each that fires."""
+    """The rules over the collection's figures, one row for each that fires; parts that need a benchmark run are null."""
+    e = S.edges(spark, d)
+    within = e.agg(F.count(F.when(F.col("reference_type") == "within-chain", 1)).alias("n_within_chain"))
+    sizes = S.chunks(spark, d).groupBy("session_id").count().agg(F.median("count").alias("median_session_size"))
     n = F.col("n_chunks")
-    rules = [("cluster coverage", "high", F.col("n_clustered") / n < 0.7), ("orphan chunks", "high", F.col("n_orphans") / n > 0.3), ("sparse edges", "high", F.col("n_edges") / n < 1), ("coverage far below target", "medium", F.col("n_clustered") / n < 0.9)]
-    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(m).alias("metric"), F.lit(p).alias("priority"))) for m, p, c in rules]))
-    return _health(spark, d).select(F.explode(hits).alias("r")).select("r.*")
+    f = _health(spark, d).join(within).join(sizes).join(S.clusters(spark, d).agg(F.count("*").alias("n_clusters")))  # one row each
+    return TU.recommendations(f.withColumns({"cluster_coverage": F.col("n_clustered") / n, "orphan_share": F.col("n_orphans") / n, "edges_per_chunk": F.col("n_edges") / n}))
+
+
+@register(f"""WITH {P('c', 'a')}, m AS (SELECT strftime(start_time, '%Y-%m') AS run, avg(CASE WHEN id IN (SELECT chunk_id FROM a) THEN 1.0 ELSE 0.0 END) AS v FROM c WHERE start_time IS NOT NULL GROUP BY 1), l AS (SELECT run, v, lag(v) OVER (ORDER BY run) AS p FROM m)
+SELECT run, 'cluster_coverage' AS metric, round(v, 6) AS value, round(p, 6) AS previous, round(v - p, 6) AS delta, CASE WHEN v - p = 0 THEN false ELSE v - p > 0 END AS improved FROM l""")
+def run_deltas(spark, d):
+    """Runs against the run before them: here the coverage of each month's chunks as a run."""
+    c = S.chunks(spark, d).filter("start_time is not null").select("id", F.date_format("start_time", "yyyy-MM").alias("run"))
+    a = S.chunk_clusters(spark, d).select(F.col("chunk_id").alias("id")).distinct().withColumn("k", F.lit(1.0))
+    h = c.join(a, "id", "left").groupBy("run").agg(F.avg(F.coalesce("k", F.lit(0.0))).alias("value")).select("run", F.col("run").alias("at"), F.lit("cluster_coverage").alias("metric"), "value")
+    r = lambda n: F.round(n, 6).alias(n)
+    return TU.deltas(materialise(h, "runs")).select("run", "metric", r("value"), r("previous"), r("delta"), "improved")
+
+
+@register(f"WITH {_E} SELECT count(*) AS n_entries, true AS one_representative_each, true AS nearest_is_representative FROM x")
+def entry_cluster_checks(spark, d):
+    """What must hold of clustered index entries: one representative a cluster, and none nearer to the centroid."""
+    r = materialise(entry_clusters(spark, d), "entries")
+    by = r.filter("label >= 0").groupBy("label").agg(F.sum(F.col("is_representative").cast("int")).alias("n"), F.min("distance").alias("least"), F.min(F.when(F.col("is_representative"), F.col("distance"))).alias("own"))
+    ok = by.agg(F.coalesce(F.min(F.col("n") == 1), F.lit(True)).alias("one_representative_each"), F.coalesce(F.min(F.col("least") == F.col("own")), F.lit(True)).alias("nearest_is_representative"))
+    return r.agg(F.count("*").alias("n_entries")).join(ok)
+
+
+@register()
+def entry_clusters(spark, d):
+    """Index entries clustered by their vectors: label, angular distance to the centroid, and whether an entry stands for
+    its cluster (the nearest, ties to the smaller id); noise has no distance."""
+    e = _embeddings(spark, d).select("id", "embedding")
+    own = materialise(C.hdbscan(e).select("id", "label").join(e, "id"), "entries")
+    cents = VS.centroids(own.filter("label >= 0"), "label")
+    j = own.join(broadcast_if_small(cents), "label", "left").select("id", "label", F.round(V.angular(F.col("embedding"), F.col("centroid")), 9).alias("distance"))
+    best = j.filter("label >= 0").groupBy("label").agg(F.min(F.struct("distance", "id")).alias("b")).select("label", F.col("b.id").alias("best"))
+    return j.join(broadcast_if_small(best), "label", "left").select("id", "label", "distance", F.coalesce(F.col("id") == F.col("best"), F.lit(False)).alias("is_representative"))
 
 
 @register(f"WITH {P('c')}, m AS (SELECT strftime(start_time, '%Y-%m') AS month, count(*) AS n_chunks, avg(approx_tokens) AS mean_tokens FROM c GROUP BY 1) SELECT month, n_chunks, n_chunks - lag(n_chunks) OVER (ORDER BY month) AS chunks_delta, round(mean_tokens - lag(mean_tokens) OVER (ORDER BY month), 4) AS tokens_delta FROM m")
@@ -355,13 +394,14 @@ def decay_areas(spark, d):
     return D.curve_area(D.curves(spark).withColumn("weight", F.round("weight", 9))).withColumn("area", F.round("area", 6))
 
 
-_HOPS = "sq AS (SELECT id, session_id, content, row_number() OVER (PARTITION BY session_id ORDER BY start_time, id) AS pos FROM c), tn AS (SELECT id, session_id, pos, unnest({}) AS name FROM sq), rf AS (SELECT a.id, a.session_id, CAST(a.pos - b.pos AS INTEGER) AS hops FROM (SELECT *, lag(pos) OVER (PARTITION BY session_id, name ORDER BY pos) AS pp FROM tn) a JOIN sq b ON a.session_id = b.session_id AND b.pos = a.pp)".format(_PATHS.format("content"))
+_IDENTIFIER = r"\b[a-z]+(?:[A-Z][a-z]+)+\b|\b[a-z]+_[a-z_]+\b"
+_HOPS = "sq AS (SELECT id, session_id, content, row_number() OVER (PARTITION BY session_id ORDER BY start_time, id) AS pos FROM c), tn AS (SELECT id, session_id, pos, unnest(list_distinct(list_concat({}, regexp_extract_all(content, '{}')))) AS name FROM sq), rf AS (SELECT a.id, a.session_id, CAST(a.pos - b.pos AS INTEGER) AS hops FROM (SELECT *, lag(pos) OVER (PARTITION BY session_id, name ORDER BY pos) AS pp FROM tn) a JOIN sq b ON a.session_id = b.session_id AND b.pos = a.pp)".format(_PATHS.format("content"), _IDENTIFIER)
 
 
 def _references(spark, d):
-    """Mentions of a path with the number of chunks since its last mention in the session."""
+    """Mentions of a path or code identifier with the number of chunks since its last mention in the session."""
     w = Window.partitionBy("session_id").orderBy("start_time", "id")
-    s = S.chunks(spark, d).select("id", "session_id", F.row_number().over(w).alias("pos"), X.paths(F.col("content")).alias("p"))
+    s = S.chunks(spark, d).select("id", "session_id", F.row_number().over(w).alias("pos"), F.array_distinct(F.concat(X.paths(F.col("content")), F.regexp_extract_all("content", F.lit(_IDENTIFIER), 0))).alias("p"))
     n = s.select("id", "session_id", "pos", F.explode("p").alias("name"))
     back = F.lag("pos").over(Window.partitionBy("session_id", "name").orderBy("pos"))
     return n.withColumn("hops", F.col("pos") - back).filter("hops is not null").select("id", "hops")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators.ranking import rank_within
 from tessera.plans.registry import Registry
-from tessera.runtime import read_table
+from tessera.runtime import broadcast_if_small, materialise, read_table
 from tessera.sources import store as S
 from tessera.sources.store import prelude as P
 
@@ -172,3 +172,47 @@ def code_entity_references(spark, d):
     x = S.chunks(spark, d).select("session_id", "id", "start_time", F.explode(names).alias("name"))
     w = Window.partitionBy("session_id", "name").orderBy("start_time", "id")
     return x.withColumn("earlier", F.lag("id").over(w)).filter("earlier is not null").groupBy("id", "earlier").agg(F.count("*").alias("n_names"))
+
+
+# Sentences added to the chunks by the first digit of their id's hash, for features that the stored texts never show.
+_PLANTED = {
+    "0": "[User]\nbtw, another topic. ", "1": "Continuing from previous session\n", "2": "Ask @kim.lee in #infra. ", "3": "Mail anna.b@example.com, or see https://example.com/a?b=1. ",
+    "4": "Tom Baker said so in the standup. ", "5": "[User]\nThanks, it is fixed. Ask @Kim.Lee. ", "6": "Talk with Tom Baker at the all-hands, then #Infra. ",
+}
+
+
+def planted(spark, d):
+    """The chunks with those sentences in front."""
+    c = S.chunks(spark, d)
+    first = F.substring(F.md5("id"), 1, 1)
+    text = F.lit("")
+    for k, v in _PLANTED.items():
+        text = F.when(first == k, F.lit(v)).otherwise(text)
+    return c.withColumn("content", F.concat(text, F.coalesce("content", F.lit(""))))
+
+
+PLANTED_SQL = P("c").replace("c AS (", "c0 AS (", 1) + ", c AS (SELECT * REPLACE (CASE substr(md5(id), 1, 1) " + " ".join("WHEN '{}' THEN {}".format(k, "E" + q(v).replace("\n", "\\n")) for k, v in _PLANTED.items()) + " ELSE '' END || coalesce(content, '') AS content) FROM c0)"
+
+
+@register(f"WITH {PLANTED_SQL} SELECT id, regexp_matches({_TRIM.format(_USER)}, {q(X.TOPIC_SHIFT)}) AS shift, regexp_matches({_TRIM.format(_USER)}, {q(X.CONTINUATION)}) AS continuation, regexp_matches(content, {q(X.RESUMED)}) AS resumed FROM c")
+def topic_markers_planted(spark, d):
+    u = X.user_text(F.col("content"))
+    return planted(spark, d).select("id", X.has_topic_shift(u).alias("shift"), X.has_continuation(u).alias("continuation"), X.is_resumed(F.col("content")).alias("resumed"))
+
+
+@register(f"WITH {PLANTED_SQL}, {_ENT} SELECT id, entity_type, mention_form, name, confidence FROM en")
+def entities_planted(spark, d):
+    return _entity_rows(planted(spark, d)).select("id", "entity_type", "mention_form", "name", "confidence")
+
+
+@register(f"WITH {PLANTED_SQL}, {_ENT}, k AS (SELECT DISTINCT session_slug, entity_type, name, mention_form FROM en), al AS (SELECT DISTINCT session_slug, id FROM en JOIN k USING (session_slug, entity_type, name) WHERE lower(k.mention_form) = '@kim.lee') SELECT al.id, c.session_slug, c.start_time FROM al JOIN c ON c.id = al.id")
+def alias_lookup_planted(spark, d):
+    """The chunks of each project that mention the entity which a spelling is an alias of, whatever their own spelling."""
+    rows = materialise(_entity_rows(planted(spark, d)), "entities")
+    of = rows.filter(F.lower("mention_form") == "@kim.lee").select("session_slug", "entity_type", "name").distinct()
+    return rows.join(broadcast_if_small(of), ["session_slug", "entity_type", "name"], "left_semi").select("id", "session_slug", "start_time").distinct()
+
+
+@register(f"WITH {PLANTED_SQL}, {_ENT} SELECT entity_type, name, session_slug, count(DISTINCT mention_form) AS n_forms, count(DISTINCT id) AS n_chunks FROM en GROUP BY 1, 2, 3")
+def entity_resolution_planted(spark, d):
+    return _entity_rows(planted(spark, d)).groupBy("entity_type", "name", "session_slug").agg(F.countDistinct("mention_form").alias("n_forms"), F.countDistinct("id").alias("n_chunks"))
