@@ -147,7 +147,7 @@ def chunk_turns(rendered: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     runs over (session, turn, length) in a stream, however long a session; texts are gathered chunk by chunk. Turns
     without text are left out; a session without any has no chunks.
     """
-    r = rendered.filter("text is not null").select("session", "turn", "text")
+    r = materialise(rendered.filter("text is not null").select("session", "turn", "text"), "rendered")
     sizes = r.select("session", "turn", F.length("text").alias("n")).repartition("session").sortWithinPartitions("session", "turn")
     kind = dict(r.dtypes)
     placed = materialise(sizes.mapInPandas(_pack_lengths(most), f"session {kind['session']}, turn {kind['turn']}, _chunk long, _whole boolean"), "packed")
@@ -162,7 +162,8 @@ def chunk_turns(rendered: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
             yield pd.DataFrame(rows, columns=["session", "_chunk", "_n", "turn_indices", "text"])
 
     split = j.filter("not _whole").select("session", "_chunk", "turn", "text").mapInPandas(cut, f"session {kind['session']}, _chunk long, _n int, turn_indices array<int>, text string")
-    ranked = rank_within(whole.unionByName(split), ["session"], ["_chunk", "_n"], "piece")
+    pieces = materialise(whole.unionByName(split), "pieces")  # ranking reads its input twice
+    ranked = rank_within(pieces, ["session"], ["_chunk", "_n"], "piece")
     return ranked.select("session", F.col("piece").cast("int").alias("piece"), "turn_indices", "text", F.ceil(F.length("text") / 3.5).cast("int").alias("approx_tokens"))
 
 
