@@ -18,7 +18,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session with its counts and, if it is to be dropped, the reason."""
-    return judge_sessions(conversation_lines(_rows(spark, sf_dir))).drop("n_repeated")
+    return judge_sessions(conversation_lines(_rows(spark, sf_dir)), repeated=False)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     lines = materialise(conversation_lines(rows), "lines")
     placed = placed_lines(lines)
-    sound = materialise(judge_sessions(lines, placed=placed).filter("reason is null").select("session"), "sound")
+    sound = materialise(judge_sessions(lines, placed=placed, repeated=False).filter("reason is null").select("session"), "sound")
     order = ordered_conversations(lines, sound, placed=placed)
     texts = message_texts(rows.filter("content is not null").select(F.col("key").alias("uuid"), "content"))
     return order.join(texts, order.key == texts.uuid, "left").select(

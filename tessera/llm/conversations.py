@@ -110,7 +110,7 @@ def kahn(keys: list, parents: list, times: list) -> tuple[list[int], list[int]]:
     """Topological order of a reply graph by Kahn's algorithm, the earliest (time, key) of the ready lines first.
 
     Parents that are not among the keys count as done; a line without a time follows as soon as it is ready. Returns
-    the order and the indices left over, which lie on or below cycles.
+    the order and the indices left over, which lie on or below cycles, by (time, key).
     """
     at = {k: i for i, k in enumerate(keys)}
     children: list[list[int]] = [[] for _ in keys]
@@ -129,7 +129,7 @@ def kahn(keys: list, parents: list, times: list) -> tuple[list[int], list[int]]:
         for c in children[i]:
             heapq.heappush(ready, (times[c], keys[c], c))
     done = set(order)
-    return order, [i for i in range(len(keys)) if i not in done]
+    return order, sorted((i for i in range(len(keys)) if i not in done), key=lambda i: (times[i], keys[i]))
 
 
 _UNIT = "session string, key string, parent string, main boolean, speaker string, side boolean, is_prompt boolean, is_reply boolean, micros long"
@@ -223,14 +223,18 @@ def placed_lines(lines: DataFrame, hot_lines: int = HOT_SESSION_LINES, unit_line
     return materialise(rows.groupBy("unit").applyInPandas(_sort_unit, _PLACED), "placed")
 
 
-def _answers_across_units(placed: DataFrame) -> DataFrame:
-    """The prompts answered from another unit of their session: session, key."""
-    split = placed.groupBy("session").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).filter("a <> b").select("session")
-    split = materialise(split, "split")
+def _split_sessions(placed: DataFrame) -> DataFrame:
+    """The sessions in several units and their number of lines: session, n."""
+    sizes = placed.groupBy("session").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count("*").alias("n"))
+    return materialise(sizes.filter("a <> b").select("session", "n"), "split")
+
+
+def _answers_across_units(placed: DataFrame, split: DataFrame) -> DataFrame:
+    """The prompts answered from another unit of their session (`split`): session, key."""
     none = placed.filter("false").select("session", "key")
     if split.isEmpty():
         return none
-    large = placed.join(broadcast_if_small(split), "session", "left_semi")
+    large = placed.join(broadcast_if_small(split.select("session")), "session", "left_semi")
     asked = large.filter("is_reply and beyond is not null").select("session", F.col("beyond").alias("key")).distinct()
     found, seen = none, none
     while True:
@@ -245,13 +249,12 @@ def _answers_across_units(placed: DataFrame) -> DataFrame:
 
 def _loose_tops(placed: DataFrame, lines: DataFrame) -> DataFrame:
     """The (unit, top) whose chain never ends, or ends at a key that no line has, as `unit, top`."""
-    heads = materialise(placed.filter("exit is not null and not left_over").select("unit", "top", "exit").distinct(), "heads")
-    wanted = broadcast_if_small(heads.select(F.col("exit").alias("key")).distinct())
-    there = placed.join(wanted, "key", "left_semi").select(F.col("key").alias("exit"), F.col("unit").alias("to_unit"), F.col("top").alias("to_top"), F.col("exit").alias("to_exit"), "left_over")
     # lines without a session are links of a chain too, each for itself
     single = lines.filter("session is null").select("key", "parent")
     apart = single.select(F.lit(None).cast("long").alias("unit"), F.col("key").alias("top"), F.col("parent").alias("exit")).filter("exit is not null")
-    heads = heads.unionByName(apart)
+    heads = materialise(placed.filter("exit is not null and not left_over").select("unit", "top", "exit").distinct().unionByName(apart), "heads")
+    wanted = broadcast_if_small(heads.select(F.col("exit").alias("key")).distinct())
+    there = placed.join(wanted, "key", "left_semi").select(F.col("key").alias("exit"), F.col("unit").alias("to_unit"), F.col("top").alias("to_top"), F.col("exit").alias("to_exit"), "left_over")
     there = there.unionByName(single.select(F.col("key").alias("exit"), F.lit(None).cast("long").alias("to_unit"), F.col("key").alias("to_top"), F.col("parent").alias("to_exit"), F.lit(False).alias("left_over")))
     name = lambda u, t: F.concat(F.coalesce(F.col(u).cast("string"), F.lit("")), F.lit(_SEP), F.col(t))
     to = F.when(F.col("left_over"), name("unit", "top")).when(F.col("to_top").isNull(), F.col("exit")).when(F.col("to_exit").isNotNull(), name("to_unit", "to_top"))
@@ -261,18 +264,19 @@ def _loose_tops(placed: DataFrame, lines: DataFrame) -> DataFrame:
     return nodes.join(bad, "key", "left_semi").filter("unit is not null").select("unit", "top")
 
 
-def judge_sessions(lines: DataFrame, hot_lines: int = HOT_SESSION_LINES, placed: DataFrame | None = None) -> DataFrame:
+def judge_sessions(lines: DataFrame, hot_lines: int = HOT_SESSION_LINES, placed: DataFrame | None = None, repeated: bool = True) -> DataFrame:
     """session, n_lines, n_prompts, n_replies, n_repeated and `reason`: empty, broken, no_reply, or null if it is sound.
 
-    `n_repeated` counts the main lines with the speaker of the main line before, by which roles fail to alternate (of a
-    session in several units those within units). Lines without a session take part in chains but in no session. The
-    first reason that holds is given.
+    `n_repeated` counts the main lines with the speaker of the main line before, by which roles fail to alternate; without
+    `repeated` it is left out. Lines without a session take part in chains but in no session. The first reason that
+    holds is given.
     """
     if placed is None:
         lines = materialise(lines, "lines")
         placed = placed_lines(lines, hot_lines)
     loose = broadcast_if_small(materialise(_loose_tops(placed, lines).withColumn("loose", F.lit(True)), "loose"))
-    late = broadcast_if_small(materialise(_answers_across_units(placed).withColumn("late", F.lit(True)), "late"))
+    split = _split_sessions(placed)
+    late = broadcast_if_small(materialise(_answers_across_units(placed, split).withColumn("late", F.lit(True)), "late"))
     whole = placed.join(loose, ["unit", "top"], "left").join(late, ["session", "key"], "left")
     sums = lambda c: F.sum(F.col(c).cast("long"))
     by = whole.groupBy("session").agg(
@@ -284,35 +288,69 @@ def judge_sessions(lines: DataFrame, hot_lines: int = HOT_SESSION_LINES, placed:
         F.max(F.col("is_prompt") & ~F.col("answered") & F.col("late").isNull()).alias("silent"),
     )
     reason = F.when((F.col("n_prompts") == 0) & (F.col("n_replies") == 0), "empty").when(F.col("broken"), "broken").when(F.col("silent"), "no_reply")
-    return by.select("session", "n_lines", "n_prompts", "n_replies", "n_repeated", reason.alias("reason"))
+    n_repeated = F.col("n_repeated")
+    if repeated and not split.isEmpty():  # units see the line before within the unit only
+        exact = _sliced_order(lines, split, hot_lines).groupBy("session").agg(sums("same_speaker").alias("exact"))
+        by, n_repeated = by.join(broadcast_if_small(exact), "session", "left"), F.coalesce("exact", "n_repeated").alias("n_repeated")
+    return by.select("session", "n_lines", "n_prompts", "n_replies", *([n_repeated] if repeated else []), reason.alias("reason"))
 
 
 def _sort_slice(g: pd.DataFrame) -> pd.DataFrame:
-    """Kahn's order of one slice of a session: its main lines."""
+    """Kahn's order of one slice of a session, or of one of its left-over lines: its main lines."""
     times = g["micros"].fillna(-1).astype("int64").tolist()
-    order, _ = kahn(g["key"].tolist(), [None if p is None or p != p else p for p in g["parent"]], times)
+    keys = g["key"].tolist()
+    if g["left_over"].iat[0]:
+        order = sorted(range(len(keys)), key=lambda i: (times[i], keys[i]))
+    else:
+        order, _ = kahn(keys, [None if p is None or p != p else p for p in g["parent"]], times)
     g = g.iloc[order]
     g = g[g["main"]]
     speaker = g["speaker"]
-    return pd.DataFrame({"session": g["session"], "cut": g["cut"], "key": g["key"], "speaker": speaker, "micros": g["micros"].astype("Int64"), "place": range(len(g)), "same_speaker": speaker == speaker.shift()})
+    return pd.DataFrame({"session": g["session"], "left_over": g["left_over"], "cut": g["cut"], "key": g["key"], "speaker": speaker, "micros": g["micros"].astype("Int64"), "place": range(len(g)), "same_speaker": speaker == speaker.shift()})
 
 
 def _effective_times(lines: DataFrame) -> DataFrame:
-    """Add `effective`: the latest time on each line's chain within its session, by pointer doubling.
+    """Add `effective`, the latest time on each line's chain within its session, by pointer doubling, and `left_over`.
 
-    Lines on or below cycles keep a link for good and are left out.
+    Lines on or below cycles (`left_over`) keep a link for good; their own time counts.
     """
-    links = materialise(lines.select("session", "key", "parent", F.coalesce("micros", F.lit(-1)).cast("long").alias("effective")), "times")
-    total = links.count()
-    for _ in range(int(total).bit_length() + 1):
+    own = F.coalesce("micros", F.lit(-1)).cast("long")
+    links = materialise(lines.select("session", "key", "parent", own.alias("effective")), "times")
+    open_links = None
+    while True:
         up = links.select("session", F.col("key").alias("parent"), F.col("parent").alias("next"), F.col("effective").alias("above"))
         links = materialise(
             links.join(up, ["session", "parent"], "left").select("session", "key", F.col("next").alias("parent"), F.greatest("effective", F.coalesce("above", "effective")).alias("effective")),
             "times",
         )
-        if links.filter("parent is not null").isEmpty():
+        before, open_links = open_links, links.filter("parent is not null").count()
+        # a chain of any length has one of each shorter length above it: where none ends, none is left that will
+        if open_links in (0, before):
             break
-    return lines.join(links.filter("parent is null").select("session", "key", "effective"), ["session", "key"])
+    left = F.col("parent").isNotNull()
+    ends = links.select("session", "key", left.alias("left_over"), "effective")
+    return lines.join(ends, ["session", "key"]).withColumn("effective", F.when(F.col("left_over"), own).otherwise(F.col("effective")))
+
+
+def _sliced_order(lines: DataFrame, split: DataFrame, hot_lines: int) -> DataFrame:
+    """session, position, key, speaker, micros, same_speaker: the main lines of the sessions `split` (session, n), in Kahn's
+    order by slices of effective time, then those left over, by slices of time."""
+    rows = lines.join(broadcast_if_small(split.select("session")), "session", "left_semi").select("session", "key", "parent", "main", "speaker", "micros")
+    large = materialise(_effective_times(materialise(rows, "large")), "effective")
+    n = split.agg(F.max("n")).first()[0]
+    shares = [i / k for k in [max(2, 2 * n // hot_lines)] for i in range(1, k)]
+    bounds = large.groupBy("session", "left_over").agg(F.percentile_approx("effective", shares, 10_000).alias("bounds"))
+    large = large.join(bounds, ["session", "left_over"]).withColumn("cut", F.size(F.filter("bounds", lambda b: b < F.col("effective"))))
+    large = large.select("session", "left_over", "cut", "key", "parent", "main", "speaker", "micros")
+    by = ["session", "left_over", "cut"]
+    sliced = materialise(large.groupBy(*by).applyInPandas(_sort_slice, "session string, left_over boolean, cut int, key string, speaker string, micros long, place long, same_speaker boolean"), "slices")
+    w = Window.partitionBy("session").orderBy("left_over", "cut")
+    sizes = sliced.groupBy(*by).agg(F.count("*").alias("n"), F.max_by("speaker", "place").alias("last"))
+    offsets = sizes.select(*by, (F.sum("n").over(w) - F.col("n")).alias("before"), F.lag("last").over(w).alias("last"))
+    return sliced.join(offsets, by).select(
+        "session", (F.col("place") + F.col("before")).alias("position"), "key", "speaker", "micros",
+        F.when(F.col("place") == 0, F.coalesce(F.col("speaker") == F.col("last"), F.lit(False))).otherwise(F.col("same_speaker")).alias("same_speaker"),
+    )
 
 
 def ordered_conversations(lines: DataFrame, sound: DataFrame, hot_lines: int = HOT_SESSION_LINES, placed: DataFrame | None = None) -> DataFrame:
@@ -324,24 +362,7 @@ def ordered_conversations(lines: DataFrame, sound: DataFrame, hot_lines: int = H
     if placed is None:
         placed = placed_lines(lines, hot_lines)
     mine = placed.join(broadcast_if_small(sound.select("session")), "session", "left_semi")
-    hot = mine.groupBy("session").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.count("*").alias("n")).filter("a <> b").select("session", "n")
-    hot = materialise(hot, "hot")
-    easy = mine if hot.isEmpty() else mine.join(broadcast_if_small(hot), "session", "left_anti")
+    split = _split_sessions(mine)
+    easy = mine if split.isEmpty() else mine.join(broadcast_if_small(split), "session", "left_anti")
     out = easy.filter("main").select("session", F.col("place").alias("position"), "key", "speaker", "micros", "same_speaker")
-    if hot.isEmpty():
-        return out
-    rows = lines.join(broadcast_if_small(hot.select("session")), "session", "left_semi").select("session", "key", "parent", "main", "speaker", "micros")
-    large = _effective_times(materialise(rows, "large"))
-    n = hot.agg(F.max("n")).first()[0]
-    shares = [i / k for k in [max(2, 2 * n // hot_lines)] for i in range(1, k)]
-    bounds = large.groupBy("session").agg(F.percentile_approx("effective", shares, 10_000).alias("bounds"))
-    large = large.join(bounds, "session").withColumn("cut", F.size(F.filter("bounds", lambda b: b < F.col("effective"))))
-    large = large.select("session", "cut", "key", "parent", "main", "speaker", "micros")
-    sliced = materialise(large.groupBy("session", "cut").applyInPandas(_sort_slice, "session string, cut int, key string, speaker string, micros long, place long, same_speaker boolean"), "slices")
-    w = Window.partitionBy("session").orderBy("cut")
-    sizes = sliced.groupBy("session", "cut").agg(F.count("*").alias("n"), F.max_by("speaker", "place").alias("last"))
-    offsets = sizes.select("session", "cut", (F.sum("n").over(w) - F.col("n")).alias("before"), F.lag("last").over(w).alias("last"))
-    return out.unionByName(sliced.join(offsets, ["session", "cut"]).select(
-        "session", (F.col("place") + F.col("before")).alias("position"), "key", "speaker", "micros",
-        F.when(F.col("place") == 0, F.coalesce(F.col("speaker") == F.col("last"), F.lit(False))).otherwise(F.col("same_speaker")).alias("same_speaker"),
-    ))
+    return out if split.isEmpty() else out.unionByName(_sliced_order(lines, split, hot_lines))

@@ -80,3 +80,49 @@ def test_roles_and_alternation(spark):
     lines = conversation_lines(spark.createDataFrame(rows, ROWS))
     assert {r.key: r.speaker for r in lines.collect()} == {"a": "user", "b": "assistant", "c": "assistant", "d": None}
     assert [(r.n_lines, r.n_repeated, r.reason) for r in judge_sessions(lines).collect()] == [(3, 1, None)]
+
+
+def _judged(rows):
+    """n_repeated and broken of each session, from the rows alone."""
+    at = {x[0]: x for x in rows}
+
+    def ends(k):
+        seen = set()
+        while k is not None and k in at and k not in seen:
+            seen.add(k)
+            k = at[k][1]
+        return k is None
+
+    got = {}
+    for s in sorted({x[2] for x in rows if x[2]}):
+        mine = [x for x in rows if x[2] == s]
+        times = [-1 if x[5] is None else int(x[5]) for x in mine]
+        order, left = kahn([x[0] for x in mine], [x[1] for x in mine], times)
+        left.sort(key=lambda i: (times[i], mine[i][0]))
+        main = [mine[i][3] for i in [*order, *left] if mine[i][3] != "progress" and not mine[i][4]]
+        broken = any(not ends(x[0]) for x in mine if x[3] != "progress" and not x[4])
+        got[s] = (sum(a == b for a, b in zip(main, main[1:])), broken)
+    return got
+
+
+def test_units_do_not_change_what_is_judged(spark):
+    r = random.Random(5)
+    rows = []
+    for s in range(6):
+        keys = [f"s{s}-{i:02d}" for i in range(60)]
+        for i, k in enumerate(keys):
+            p = None if not i else keys[max(0, i - 1 - r.randrange(3))]
+            if s < 2 and r.random() < 0.05:
+                p = keys[min(59, i + r.randrange(9))]  # rings
+            elif s == 2 and i == 50:
+                p = "gone"
+            rows.append(line(k, p, f"s{s}" if s < 2 or i != 20 else None, r.choice(["user", "assistant", "progress"]), side=r.random() < 0.1, t=None if r.random() < 0.05 else str(1704067200000 + r.randrange(40) * 1000)))
+    want = _judged(rows)
+    assert {s for s in want if want[s][1]} == {"s0", "s1", "s2"}
+    reasons = []
+    for hot in (10**6, 20):
+        r.shuffle(rows)
+        got = {x.session: x for x in judge_sessions(conversation_lines(spark.createDataFrame(rows, ROWS)), hot).collect()}
+        assert {s: (x.n_repeated, x.reason == "broken") for s, x in got.items()} == want
+        reasons.append({s: x.reason for s, x in got.items()})
+    assert reasons[0] == reasons[1]
