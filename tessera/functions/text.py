@@ -169,10 +169,15 @@ def heuristic_description(text: Column, most_tokens: int = 130) -> Column:
     The first line is taken whatever its size; the result has at most 5 characters per token of the budget.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (x != "") & ~x.rlike(r"^([-=_*]{3,}$|```|Tool:)"))
-    tokens = F.transform(lines, approx_tokens)
-    before = F.transform(tokens, lambda _, i: F.aggregate(F.slice(tokens, 1, i + 1), F.lit(0), lambda s, t: s + t))
-    fits = F.filter(lines, lambda _, i: (i == 0) | (F.get(before, i) <= most_tokens))
-    return F.substring(F.array_join(fits, " "), 1, most_tokens * 5)
+    # one pass: an expression in a lambda is worked out anew for every line
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("text"))
+
+    def add(s: Column, x: Column) -> Column:
+        n = s["n"] + approx_tokens(x)
+        taken = F.when(s["text"].isNull(), x).when(n <= most_tokens, F.concat(s["text"], F.lit(" "), x)).otherwise(s["text"])
+        return F.struct(n.alias("n"), taken.alias("text"))
+
+    return F.substring(F.aggregate(lines, start, add, lambda s: F.coalesce(s["text"], F.lit(""))), 1, most_tokens * 5)
 
 
 def relevant_text(chunk: Column) -> Column:

@@ -140,8 +140,8 @@ def previews(spark, d):
 @register()
 def heuristic_entries(spark, d):
     """Index entries without a language model: a description of each chunk from its first meaningful lines."""
-    t = X.heuristic_description(F.col("content"))
-    return S.chunks(spark, d).select("id", "session_slug", "start_time", t.alias("description"), X.approx_tokens(t).alias("approx_tokens"), F.lit("heuristic").alias("generation_method"))
+    t = S.chunks(spark, d).select("id", "session_slug", "start_time", X.heuristic_description(F.col("content")).alias("description"))
+    return t.withColumns({"approx_tokens": X.approx_tokens(F.col("description")), "generation_method": F.lit("heuristic")})
 
 
 @register(f"WITH {P('c')} SELECT id, row_number() OVER (ORDER BY md5(id || ':42'), id) AS place FROM c")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -406,3 +407,25 @@ def test_stored_index_equals_a_scan(spark, tmp_path):
     assert "new" in {x.id for x in get().search({"q": ["plan"]}).collect()}  # a changed table is indexed anew
     spark.createDataFrame([], "id string, text string").write.mode("overwrite").parquet(path)
     assert get().search({"q": ["plan"]}).count() == 0
+
+
+def test_heuristic_description_of_many_lines(spark):
+    r = random.Random(8)
+    line = lambda: r.choice(["----", "```python", "Tool: Read", "", "  ", "x" * r.randrange(1, 90), " some words " * r.randrange(1, 9), "é" * 20])
+    texts = [None, "", "\n---\n", "y" * 900, *["\n".join(line() for _ in range(n)) for n in (1, 3, 9, 20, 1000)]]
+
+    def want(t):
+        if t is None:
+            return None
+        kept, total = [], 0
+        for x in (x.strip() for x in t.split("\n")):
+            if x == "" or x.startswith(("```", "Tool:")) or (len(x) > 2 and not x.strip("-=_*")):
+                continue
+            total += -(-len(x) * 2 // 7)
+            if not kept or total <= 130:
+                kept.append(x)
+        return " ".join(kept)[:650]
+
+    began = time.monotonic()
+    assert one(spark, X.heuristic_description(F.col("t")), [(t,) for t in texts], "t string") == [want(t) for t in texts]
+    assert time.monotonic() - began < 20  # the lines are gone through once
