@@ -28,6 +28,7 @@ from tessera.operators.deliveries import first_deliveries
 from tessera.operators.fulltext import bm25, bm25_many
 from tessera.operators.ranking import rank_within, running_sum
 from tessera.operators.references import dangling_references
+from tessera.plans import recall
 from tessera.functions import deep_json
 from tessera.operators.shred import assemble, blocks_of, flatten, shred_blocks, shred_leaves, split_plain, stripe
 
@@ -429,3 +430,15 @@ def test_heuristic_description_of_many_lines(spark):
     began = time.monotonic()
     assert one(spark, X.heuristic_description(F.col("t")), [(t,) for t in texts], "t string") == [want(t) for t in texts]
     assert time.monotonic() - began < 20  # the lines are gone through once
+
+
+def test_backfill_of_chunks_with_many_lines(spark, tmp_path):
+    kinds = "id string, session_id string, session_slug string, turn_indices array<int>, start_time timestamp, end_time timestamp, content string, code_block_count int, tool_use_count int, approx_tokens int, created_at timestamp, agent_id string, spawn_depth int, project_path string, team_name string"
+    text = "\n".join(f"line {i}" for i in range(600))
+    rows = [(i, None, "p", None, None, None, text, 0, 0, 0, None, None, 0, None, None) for i in ("a", "B ", "c")]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("c", "k", 0.1, None)], "chunk_id string, cluster_id string, distance double, assigned_at timestamp").write.parquet(str(tmp_path / "chunk_clusters.parquet"))
+    began = time.monotonic()
+    got = {r.id: r.description for r in recall.backfill_entries(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b"} and all(t.startswith("line 0 line 1 ") and len(t) < 650 for t in got.values())
+    assert time.monotonic() - began < 20
