@@ -163,11 +163,8 @@ def time_ago(then: Column, now: Column) -> Column:
     return F.when(then.isNull(), "unknown").when(s < 60, "just now").when(s < 3600, unit(60, " min", " min")).when(s < 86_400, unit(3600, " hour", " hours")).otherwise(unit(86_400, " day", " days"))
 
 
-def heuristic_description(text: Column, most_tokens: int = 130) -> Column:
-    """The first meaningful lines (no separators, fences or tool lines) up to a token budget, joined by spaces.
-
-    The first line is taken whatever its size; the result has at most 5 characters per token of the budget.
-    """
+def _first_lines(text: Column, most_tokens: int) -> Column:
+    """The meaningful lines that fit a budget, joined by spaces (`text`, null if none), and the tokens `n` of all of them."""
     lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (x != "") & ~x.rlike(r"^([-=_*]{3,}$|```|Tool:)"))
     # one pass: an expression in a lambda is worked out anew for every line
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("text"))
@@ -177,7 +174,21 @@ def heuristic_description(text: Column, most_tokens: int = 130) -> Column:
         taken = F.when(s["text"].isNull(), x).when(n <= most_tokens, F.concat(s["text"], F.lit(" "), x)).otherwise(s["text"])
         return F.struct(n.alias("n"), taken.alias("text"))
 
-    return F.substring(F.aggregate(lines, start, add, lambda s: F.coalesce(s["text"], F.lit(""))), 1, most_tokens * 5)
+    return F.aggregate(lines, start, add)
+
+
+def heuristic_description(text: Column, most_tokens: int = 130) -> Column:
+    """The first meaningful lines (no separators, fences or tool lines) up to a token budget, joined by spaces.
+
+    The first line is taken whatever its size; the result has at most 5 characters per token of the budget. Of a long text
+    only the head is gone through if its whole lines exceed the budget, as no later line can be taken then.
+    """
+    some = 40 * most_tokens
+    head = F.substring(text, 1, some)
+    whole_lines = F.left(head, F.length(head) - F.length(F.substring_index(head, "\n", -1)))
+    early, every = _first_lines(whole_lines, most_tokens), _first_lines(text, most_tokens)
+    taken = F.when((F.length(text) > some) & (early["n"] > most_tokens), early["text"]).otherwise(F.when(text.isNotNull(), F.coalesce(every["text"], F.lit(""))))
+    return F.substring(taken, 1, most_tokens * 5)
 
 
 def relevant_text(chunk: Column) -> Column:

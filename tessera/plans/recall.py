@@ -107,9 +107,11 @@ def cluster_labels(spark, d):
 @register()
 def backfill_entries(spark, d):
     """Index entries for chunks without a cluster, newest first, 500 at most (a batch of the upkeep)."""
-    c = S.chunks(spark, d)
-    rest = c.join(S.chunk_clusters(spark, d).select(F.col("chunk_id").alias("id")), "id", "left_anti").orderBy(F.desc("created_at"), "id").limit(500)
-    return rest.select("id", X.heuristic_description(F.col("content")).alias("description"))
+    c, newest = S.chunks(spark, d), (F.desc("created_at"), "id")
+    rest = c.select("id", "created_at").join(S.chunk_clusters(spark, d).select(F.col("chunk_id").alias("id")), "id", "left_anti").orderBy(*newest).limit(500)
+    batch = F.broadcast(materialise(rest.select("id"), "batch"))  # texts are not ranked, but described where they are scanned
+    described = c.join(batch, "id").select("id", "created_at", X.heuristic_description(F.col("content")).alias("description"))
+    return described.orderBy(*newest).limit(500).select("id", "description")
 
 
 @register(f"""WITH {P('c')}, o AS (SELECT id, session_id, session_slug, lead(id) OVER w AS next_id, lead(session_id) OVER w = session_id AS same FROM c WINDOW w AS (PARTITION BY session_slug ORDER BY start_time, id)) SELECT CASE WHEN same THEN 'adjacent' ELSE 'cross_session' END AS kind, count(*) AS n, min(id) AS first_id FROM o WHERE next_id IS NOT NULL GROUP BY 1""")

@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -442,3 +443,41 @@ def test_backfill_of_chunks_with_many_lines(spark, tmp_path):
     got = {r.id: r.description for r in recall.backfill_entries(spark, str(tmp_path)).collect()}
     assert set(got) == {"a", "b"} and all(t.startswith("line 0 line 1 ") and len(t) < 650 for t in got.values())
     assert time.monotonic() - began < 20
+
+
+def test_heuristic_description_of_long_texts(spark, tmp_path):
+    def want(t):
+        kept, total = [], 0
+        for x in (x.strip() for x in t.split("\n")):
+            if x and not x.startswith(("```", "Tool:")) and (len(x) < 3 or x.strip("-=_*")):
+                total += -(-len(x) * 2 // 7)
+                kept += [x] if not kept or total <= 130 else []
+        return " ".join(kept)[:650]
+
+    heads = ["", "-----\n" * 2000, "y" * 6000 + "\n", "y" * 5199 + "\n", "y" * 5200, "a\n" * 129, "a\n" * 130, " \n" * 2599 + "a\n"]
+    texts = [h + body for h in heads for body in ("\n", "some words\n" * 700, "é" * 455 + "\nz\n" + "=\n" * 5000, "Tool: x\n" * 900 + "end")]
+    assert one(spark, X.heuristic_description(F.col("t")), [(t,) for t in texts], "t string") == [want(t) for t in texts]
+
+    t = F.concat(F.col("id").cast("string"), F.repeat(F.lit("\nsome words of a line"), 16_000))
+    spark.range(0, 200, 1, 2).select(t.alias("t")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+
+    def took(x):
+        began = time.monotonic()
+        assert rows.agg(F.max(x)).collect()[0][0]
+        return time.monotonic() - began
+
+    lines = F.size(F.transform(F.split("t", "\n"), X.trimmed))
+    known, description = min(took(lines) for _ in range(2)), X.heuristic_description(F.col("t"))
+    assert min(took(description) for _ in range(3)) < known / 2  # not all lines are gone through
+
+
+def test_backfill_takes_the_newest(spark, tmp_path):
+    kinds = "id string, session_id string, session_slug string, turn_indices array<int>, start_time timestamp, end_time timestamp, content string, code_block_count int, tool_use_count int, approx_tokens int, created_at timestamp, agent_id string, spawn_depth int, project_path string, team_name string"
+    at = lambda i: datetime(2026, 1, 1) + timedelta(minutes=i // 2) if i % 7 else None
+    rows = [(f"C{i:04d} ", None, "p", None, None, None, f"text {i}", 0, 0, 0, at(i), None, 0, None, None) for i in range(900)]
+    spark.createDataFrame(rows + rows[:90], kinds).repartition(5).write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(f"c{i:04d}", "k", 0.1, None) for i in range(0, 900, 3)], "chunk_id string, cluster_id string, distance double, assigned_at timestamp").write.parquet(str(tmp_path / "chunk_clusters.parquet"))
+    rest = sorted((i for i in range(900) if i % 3), key=lambda i: (at(i) is None, -(i // 2), i) if at(i) else (True, 0, i))
+    got = [(r.id, r.description) for r in recall.backfill_entries(spark, str(tmp_path)).collect()]
+    assert got == [(f"c{i:04d}", f"text {i}") for i in rest[:500]] and len(rest) == 600
