@@ -129,15 +129,20 @@ class Slots:
         return container, position
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+def measured(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """doc_id and n_tokens of each document, written once."""
+    return materialise(token_lengths(documents, os.path.join(tokenizer_dir, RANKS_FILE)), "tokens")
+
+
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR, sized: DataFrame | None = None) -> DataFrame:
     """Container and position of each document or piece.
 
     Result: container, position, doc_id, piece, first_token, n_tokens. A text of more than `capacity` tokens is cut
     into pieces of `capacity` and a rest; no other text is cut. Null and empty texts have no tokens and take no room:
-    container and position are null. Repeated doc_ids are packed row by row.
+    container and position are null. Repeated doc_ids are packed row by row. `sized`: what `measured` gave for these
+    documents, where it is there already.
     """
-    path = os.path.join(tokenizer_dir, RANKS_FILE)
-    sized = materialise(token_lengths(documents, path), "tokens")
+    sized = sized if sized is not None else measured(documents, tokenizer_dir)
     full = F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int")))
     pieces = sized.filter("n_tokens > 0").select("doc_id", F.explode(full).alias("piece"), "n_tokens")
     pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece").cast("long") * capacity).alias("n"))

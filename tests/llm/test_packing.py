@@ -1,9 +1,12 @@
 import random
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tessera.llm import packing_queries
 from tessera.llm.packing import Slots, pack, plan
 
 
@@ -41,3 +44,22 @@ def test_every_document_once(spark):
     assert len(cut) > 1 and all(x.n_tokens == 100 for x in cut[:-1]) and [x.first_token for x in cut] == [100 * i for i in range(len(cut))]
     assert all(x.piece == 0 for x in full if x.doc_id != len(texts) - 1)
     assert pack(df.limit(0), 100).count() == 0
+
+
+@pytest.mark.parametrize("lost", [None, "piece < 2", "n_tokens = 2048", "false"])
+def test_checks_count_what_is_not_placed(spark, tmp_path, monkeypatch, lost):
+    texts = [None, "one", "word " * 5000, "other words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def faulty(*a, **k):
+        rows = pack(*a, **k)
+        return rows.withColumns({c: F.expr(f"if({lost}, {c}, null)") for c in ("container", "position")}) if lost else rows
+
+    monkeypatch.setattr(packing_queries, "pack", faulty)
+    row = packing_queries.p8_checks(spark, str(tmp_path)).first()
+    assert row.n_documents == 4
+    assert row.n_gaps == {None: 0, "piece < 2": 1, "n_tokens = 2048": 3, "false": 3}[lost]
+
+
+def test_the_whole_result_stands_for_the_problem():
+    assert next(iter(packing_queries.QUERIES)) == "p8_containers"
